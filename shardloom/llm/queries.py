@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup
+from shardloom.llm import bpe, exact_dedup, simhash
 from shardloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def exact(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def near(spark, sf_dir):
+    """Near groups of all documents: 4-word shingles, at most 4 differing bits."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -36,6 +41,7 @@ SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM g
 
 QUERIES = {
     "op2_bpe": bpe_roundtrip,
+    "op3_simhash": near,
     "op8_exact_dedup": exact,
 }
 ORACLE_SQL = {
