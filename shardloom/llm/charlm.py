@@ -1,0 +1,176 @@
+"""Symbol n-gram models: vocabulary, sharded counts, smoothing, scoring.
+
+A model's tokens are symbols: the most frequent characters of the corpus it is
+fitted on, one symbol for all other characters and one for a word that repeats
+the word before it. With V symbols an order-n gram is a number below V**n, so
+counts are sharded by that number, added up by key in Spark, and a scored text
+looks its grams up by position in a dense table. Tables hold V**n floats
+(48**4: 21 MB), whatever the size of the corpus.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+#: Symbols of a vocabulary and order of the models.
+SYMBOLS, ORDER = 48, 4
+#: Grams that a task gathers before it adds them to its table.
+GATHER = 1 << 22
+#: Characters from this one on are always the symbol of the rest.
+PLANE = 1 << 16
+OTHER, AGAIN = 0, 1
+
+
+class Vocabulary:
+    """Symbol numbers of characters: 0 any other, 1 a repeated word, the rest by falling frequency."""
+
+    def __init__(self, characters: list[str], symbols: int = SYMBOLS):
+        self.characters, self.symbols = characters[: symbols - 2], symbols
+        self.table = np.zeros(PLANE, np.int32)
+        for i, c in enumerate(self.characters):
+            self.table[ord(c)] = i + 2
+
+    def encode(self, text: str) -> np.ndarray:
+        """Symbols of a text; a word equal to the word before it is one symbol."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        out = self.table[np.minimum(points, PLANE - 1)] if len(points) else np.zeros(0, np.int32)
+        if len(points) and points.max() >= PLANE - 1:
+            out[points >= PLANE - 1] = OTHER
+        blank = (points == 32) | ((points >= 9) & (points <= 13))
+        edge = np.nonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))[0]
+        start, end = edge[0::2], edge[1::2]
+        if len(start) > 1:
+            size = end - start
+            alike = (size[1:] == size[:-1]) & (points[start[1:]] == points[start[:-1]])
+            alike &= points[end[1:] - 1] == points[end[:-1] - 1]
+            drop = np.zeros(len(points), bool)  # the rest of a repeated word and the white space before it
+            for k in (np.nonzero(alike)[0] + 1).tolist():
+                a, b, n = start[k], start[k - 1], size[k]
+                if (points[a : a + n] == points[b : b + n]).all():
+                    out[a] = AGAIN
+                    drop[a + 1 : a + n] = True
+                    drop[end[k - 1] : a] = True
+            if drop.any():
+                out = out[~drop]
+        return out
+
+    def grams(self, text: str, order: int = ORDER) -> np.ndarray:
+        """The number of the gram that ends at each symbol; the text begins after a run of symbol 0."""
+        symbols = np.concatenate([np.zeros(order - 1, np.int32), self.encode(text)])
+        out = symbols[order - 1 :].astype(np.int32)
+        for k in range(1, order):
+            out += symbols[order - 1 - k : len(symbols) - k] * np.int32(self.symbols**k)
+        return out
+
+
+def fit_vocabulary(df: DataFrame, text_col: str = "text", symbols: int = SYMBOLS) -> Vocabulary:
+    """The most frequent characters over all texts of df; ties by code point."""
+
+    def over(batches):
+        total = np.zeros(PLANE, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                points = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+                total += np.bincount(points[points < PLANE - 1], minlength=PLANE) if len(points) > 20_000 else 0
+                if len(points) <= 20_000:
+                    at, n = np.unique(points[points < PLANE - 1], return_counts=True)
+                    total[at] += n
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["point", "n"])
+
+    counts = df.select(text_col).mapInArrow(over, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "point").limit(symbols - 2).collect()
+    return Vocabulary([chr(r.point) for r in top], symbols)
+
+
+def gram_counts(df: DataFrame, vocabulary: Vocabulary, mark_cols: tuple[str, ...] = (), text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """gram, n over all texts of df, and for each mark column (0 or 1) the count over its marked texts.
+
+    Each task adds its grams up in one table of V**order counts, so what it sends
+    is bounded by the grams in use; Spark adds the tasks' rows up by gram.
+    """
+    cells, names = vocabulary.symbols**order, ["n", *mark_cols]
+
+    def over(batches):
+        totals = [np.zeros(cells, np.int64) for _ in names]
+        waiting: list[list] = [[] for _ in names]
+        held = [0] * len(names)
+
+        def add(k):
+            if waiting[k]:
+                totals[k] += np.bincount(np.concatenate(waiting[k]), minlength=cells)
+                waiting[k], held[k] = [], 0
+
+        for batch in batches:
+            marks = [c.to_pylist() for c in batch.columns[1:]]
+            for row, text in enumerate(batch.column(0).to_pylist()):
+                grams = vocabulary.grams(text or "", order)
+                for k in [0, *(j + 1 for j, m in enumerate(marks) if m[row])]:
+                    waiting[k].append(grams)
+                    held[k] += len(grams)
+                    if held[k] > GATHER:
+                        add(k)
+        for k in range(len(names)):
+            add(k)
+        used = np.nonzero(totals[0])[0]
+        for i in range(0, len(used), 100_000):
+            part = used[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in totals)], names=["gram", *names])
+
+    schema = "gram long, " + ", ".join(f"{x} long" for x in names)
+    rows = df.select(text_col, *mark_cols).mapInArrow(over, schema)
+    return rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
+
+
+def dense(rows, column: int, cells: int) -> np.ndarray:
+    """Counts by gram as an array; rows: (gram, counts...)."""
+    out = np.zeros(cells, np.float64)
+    if len(rows):
+        out[rows[:, 0]] = rows[:, column]
+    return out
+
+
+def fetch(counts: DataFrame) -> np.ndarray:
+    """Counts as an array; at most V**order rows, however large the corpus."""
+    found = counts.toArrow()
+    return np.stack([c.to_numpy() for c in found.columns], axis=1) if found.num_rows else np.zeros((0, found.num_columns), np.int64)
+
+
+def kneser_ney(counts: np.ndarray, symbols: int) -> np.ndarray:
+    """Natural log of P(symbol | the symbols before) of each gram: interpolated modified Kneser-Ney.
+
+    The highest order uses the counts, each lower order the number of distinct
+    symbols seen before the gram; the lowest is interpolated with the uniform
+    distribution. Three discounts for each order come from its counts of counts.
+    """
+    levels = [counts.reshape(-1, symbols)]
+    while levels[-1].size > symbols:
+        above = levels[-1].reshape(symbols, -1)
+        levels.append((above > 0).sum(axis=0).astype(np.float64).reshape(-1, symbols))
+    below = np.full((1, symbols), 1 / symbols)
+    for level in reversed(levels):
+        n1, n2, n3, n4 = (float((level == k).sum()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [0.0, *(min(max(k - (k + 1) * y * up / own if own else 0.5 * k, 0.05), k - 0.05) for k, own, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+        total = level.sum(axis=1, keepdims=True)
+        cut = np.where(level >= 3, d[3], np.where(level == 2, d[2], np.where(level == 1, d[1], 0.0)))
+        kept = cut.sum(axis=1, keepdims=True)
+        seen = total > 0
+        safe = np.where(seen, total, 1)
+        wide = np.broadcast_to(below.reshape(1, -1, symbols), (len(level) // len(below), len(below), symbols)).reshape(-1, symbols)
+        below = np.where(seen, (level - cut) / safe + kept / safe * wide, wide)
+    return np.log(below).astype(np.float32).ravel()
+
+
+def dirichlet(counts: np.ndarray, symbols: int, mass: float = 8.0) -> np.ndarray:
+    """Natural log of P(symbol | the symbols before) of each gram, each order drawn to the order below with a fixed mass."""
+    levels = [counts.reshape(-1, symbols)]
+    while levels[-1].size > symbols:
+        levels.append(levels[-1].reshape(symbols, -1).sum(axis=0).reshape(-1, symbols))
+    below = np.full((1, symbols), 1 / symbols)
+    for level in reversed(levels):
+        wide = np.broadcast_to(below.reshape(1, -1, symbols), (len(level) // len(below), len(below), symbols)).reshape(-1, symbols)
+        below = (level + mass * wide) / (level.sum(axis=1, keepdims=True) + mass)
+    return np.log(below).astype(np.float32).ravel()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup, simhash
+from shardloom.llm import bpe, exact_dedup, lm_score, quality, simhash
 from shardloom.llm.common import table
 
 
@@ -14,6 +14,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def lm_scoring(spark, sf_dir):
+    """Scores all documents; the target is the documents labelled good and not toxic, the background all documents."""
+    labels = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), labels)
+
+
+def quality_classifier(spark, sf_dir):
+    """Judges all documents by a model fitted on a bounded sample of the documents labelled good."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def bpe_roundtrip(spark, sf_dir, vocabulary: str | None = None):
     """Encodes and decodes every document; digests of the ids and of the decoded text."""
     path = vocabulary or _vocabulary("byte_bpe_50k.json")
@@ -40,8 +52,10 @@ SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring,
     "op2_bpe": bpe_roundtrip,
     "op3_simhash": near,
+    "op6_quality": quality_classifier,
     "op8_exact_dedup": exact,
 }
 ORACLE_SQL = {
