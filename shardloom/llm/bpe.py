@@ -18,6 +18,8 @@ encoded in time linear in its length.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -28,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.llm.common import arrow_map, raw
 
-#: Pieces that a worker keeps the ids of; the table is emptied when it is full.
-PIECES = 1 << 18
+#: Pieces that a worker keeps the ids of, in each of two tables: when the newer is full it becomes the older.
+PIECES = 1 << 17
+#: Token pairs that a worker remembers the test of.
+PAIRS = 1 << 18
 #: Fixed value: the piece pattern of a byte-level pre-tokenizer with use_regex.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,7 +55,7 @@ class Encoder(dict):
         model, symbols = spec["model"], byte_symbols()
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         vocab = model["vocab"]
-        self.pieces, self.pattern = pieces, regex.compile(BYTE_LEVEL)
+        self.pieces, self.older, self.pattern = pieces, {}, regex.compile(BYTE_LEVEL)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.width = 1 + max([*vocab.values(), *self.added.values()])
@@ -70,8 +74,9 @@ class Encoder(dict):
         self.self_made = [h is not None or len(b) == 1 for h, b in zip(self.halves, self.bytes, strict=True)]
         for i in set(vocab.values()):
             if self.self_made[i] and self._own(i):
-                self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
+                self.automaton.add_word(self.bytes[i].decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.sizes = [len(x) for x in self.bytes]
         self.compatible: dict[int, bool] = {}
 
     def _own(self, token: int) -> bool:
@@ -106,28 +111,42 @@ class Encoder(dict):
         key = left * self.width + right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 1 << 20:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._first_across(left, right) is None
         return known
 
     def ids_of(self, piece: bytes) -> list[int]:
-        last, fits = [-1] * (len(piece) + 1), self.fits
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+        """The ids of a piece, from the last token of each of its prefixes."""
+        last, sizes, known, width = [-1] * (len(piece) + 1), self.sizes, self.compatible.get, self.width
+        for end, token in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] < 0 and (end == size or ((before := last[end - size]) >= 0 and fits(before, token))):
-                last[end] = token
+            if last[end] < 0:
+                start = end - sizes[token]
+                if not start:
+                    last[end] = token
+                else:
+                    before = last[start]
+                    fits = known(before * width + token)
+                    if self.fits(before, token) if fits is None else fits:
+                        last[end] = token
         ids, at = [], len(piece)
         while at:
             ids.append(last[at])
-            at -= len(self.bytes[last[at]])
+            at -= sizes[last[at]]
         return ids[::-1]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.pieces:
-            self.clear()
-        ids = np.array(self.ids_of(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            packed = array("I", self.ids_of(piece.encode()))
+            if sys.byteorder == "big":
+                packed.byteswap()
+            ids = packed.tobytes()
         if len(piece) <= 64:
+            if len(self) >= self.pieces:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 

@@ -11,16 +11,22 @@ from shardloom.sources.tables import cut, shared_dir, table  # noqa: F401  one p
 
 #: The white space that the contracts name: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+STEP = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies a function of one Arrow batch; no state is kept between batches."""
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, step: int = STEP) -> DataFrame:
+    """Applies a function of an Arrow batch, STEP rows at a time; no state is kept between calls.
+
+    Spark's batches can hold thousands of texts; short steps keep the Python
+    objects made from them few.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+            for at in range(0, batch.num_rows, step):
+                yield from function(batch.slice(at, step))
 
     return df.mapInArrow(over, schema)
 

@@ -26,6 +26,8 @@ from shardloom.llm.radix import RadixOwners
 
 #: Bytes of strings that one task's trie holds before it spills a subtree.
 TRIE_BYTES = 64 << 20
+#: Rows among which copies are folded before the shuffle.
+FOLD = 10_000
 
 
 def _folded(batch: pa.RecordBatch, out: pa.Schema, carry: list[str]) -> list[pa.RecordBatch]:
@@ -64,7 +66,7 @@ def _owners(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
     schema = "n long, h long, doc long, copies long, body binary"
     out = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
     slim = df.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("body"))
-    dealt = arrow_map(slim, lambda b: _folded(b, out, []), schema).repartition("n", "h")
+    dealt = arrow_map(slim, lambda b: _folded(b, out, []), schema, FOLD).repartition("n", "h")
 
     def insert(batches):
         trie = RadixOwners(limit)
@@ -117,7 +119,7 @@ def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in _folded(batch, out, inner):
             yield whole.select(["n", "h", "doc", "whole", "body"])
 
-    dealt = arrow_map(wide, fold, "n long, h long, doc long, whole binary, body binary").repartition("n", "h").select("doc", "whole", "body")
+    dealt = arrow_map(wide, fold, "n long, h long, doc long, whole binary, body binary", FOLD).repartition("n", "h").select("doc", "whole", "body")
 
     def insert(batches):
         trie = RadixOwners(limit)

@@ -262,7 +262,7 @@ def links(classes: DataFrame, words: int, distance: int, further: int | None = N
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bins[used])], names=["bin", "n"])
 
     columns = ["node", *names]
-    rows = arrow_map(classes.select(*columns), probe, "key long, node long, " + ", ".join(f"{x} long" for x in names))
+    rows = arrow_map(classes.select(*columns), probe, "key long, node long, " + ", ".join(f"{x} long" for x in names), 10_000)
     full = classes.select("w0").mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket).select("bin")
     full = [r[0] for r in full.collect()]  # at most BINS numbers
     if full:
