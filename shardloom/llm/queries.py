@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup, lm_score, quality, simhash
+from shardloom.llm import bpe, exact_dedup, fingerprint, lm_score, mixing, quality, simhash
 from shardloom.llm.common import table
 
 
@@ -44,6 +44,38 @@ def near(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def document_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents, of their edited texts, and likeness to both neighbours."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def mixing_sources(spark, sf_dir):
+    """Mixes all documents: weights 5, 2, 1 over the sources, at most three copies."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
+  coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS size,
+  CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+b AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY s),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM b),
+o AS (SELECT *, sum(source_size) OVER () AS alls, sum(w) OVER () AS allw,
+  coalesce(sum(source_size) OVER k, 0) AS sb, coalesce(sum(w) OVER k, 0) AS wb
+  FROM w WINDOW k AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CAST(alls - 3 * sb AS DOUBLE) / CAST(allw - wb AS DOUBLE) AS lev FROM o),
+v AS (SELECT min_by(lev, wb) AS level FROM l WHERE lev * w <= 3 * source_size AND source_size > 0),
+t AS (SELECT s, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(level * w, CAST(3 * source_size AS DOUBLE))) AS target FROM l, v),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+g AS (SELECT s, u, sum(size) AS words FROM d GROUP BY s, u),
+f AS (SELECT g.s, g.u, sum(words) OVER (PARTITION BY g.s ORDER BY g.u) - words / 2 > target - whole * source_size AS full_ FROM g JOIN p USING (s)),
+c AS (SELECT s, u, NOT bool_or(full_) OVER (PARTITION BY s ORDER BY u) AS more FROM f)
+SELECT doc_id, size, source_size, target,
+  CAST((whole + CASE WHEN more AND target > whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
+  CAST(whole + CASE WHEN more AND target > whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM d JOIN p USING (s) JOIN c USING (s, u)
+"""
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -55,9 +87,12 @@ QUERIES = {
     "op1_lm_scoring": lm_scoring,
     "op2_bpe": bpe_roundtrip,
     "op3_simhash": near,
+    "op4_fingerprints": document_fingerprints,
     "op6_quality": quality_classifier,
+    "op7_mixing": mixing_sources,
     "op8_exact_dedup": exact,
 }
 ORACLE_SQL = {
+    "op7_mixing": MIX_SQL,
     "op8_exact_dedup": EXACT_SQL,
 }
