@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup, fingerprint, lm_score, mixing, quality, simhash
+from shardloom.llm import bpe, exact_dedup, fingerprint, line_dedup, lm_score, mixing, quality, simhash
 from shardloom.llm.common import table
 
 
@@ -49,6 +49,11 @@ def document_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def lines_dedup(spark, sf_dir):
+    """All documents without the blocks of lines that align with earlier documents."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def mixing_sources(spark, sf_dir):
     """Mixes all documents: weights 5, 2, 1 over the sources, at most three copies."""
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_bpe": bpe_roundtrip,
     "op3_simhash": near,
     "op4_fingerprints": document_fingerprints,
+    "op5_line_dedup": lines_dedup,
     "op6_quality": quality_classifier,
     "op7_mixing": mixing_sources,
     "op8_exact_dedup": exact,
