@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup, fingerprint, line_dedup, lm_score, mixing, quality, simhash
+from shardloom.llm import bpe, exact_dedup, fingerprint, line_dedup, lm_score, mixing, pii, quality, simhash
 from shardloom.llm.common import table
 
 
@@ -59,6 +59,12 @@ def mixing_sources(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark, sf_dir):
+    """Personal data of all documents, and the terms that give it away."""
+    rows = pii.find_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "further")).alias("spans"))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
   coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS size,
@@ -97,6 +103,7 @@ QUERIES = {
     "op6_quality": quality_classifier,
     "op7_mixing": mixing_sources,
     "op8_exact_dedup": exact,
+    "op10_pii": personal_data,
 }
 ORACLE_SQL = {
     "op7_mixing": MIX_SQL,
