@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, exact_dedup, fingerprint, line_dedup, lm_score, mixing, pii, quality, simhash
+from shardloom.llm import bpe, chat, exact_dedup, fingerprint, line_dedup, lm_score, mixing, pii, quality, simhash
 from shardloom.llm.common import table
 
 
@@ -65,6 +65,21 @@ def personal_data(spark, sf_dir):
     return rows.select("doc_id", *[pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "further")).alias("spans"))
 
 
+def chat_formatting(spark, sf_dir):
+    """All conversations and one that holds control strings, formatted; read back from the windows alone."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    done = chat.windows(turns.unionByName(own))
+    new = F.filter(chat.read_turns(F.col("formatted")), lambda t: ~t["again"])
+    told = F.array_join(F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    rows = done.select("conv_id", F.struct("window", F.size(new).cast("long").alias("n"), told.alias("told"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("loss"), F.char_length("formatted").cast("long").alias("chars")).alias("w"))
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    total = lambda name: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x[name])
+    joined = lambda name: F.array_join(F.transform("w", lambda x: x[name]), "")
+    return rows.select("conv_id", total("n").alias("n_turns"), F.sha2(joined("told"), 256).alias("turns_sha256"), F.char_length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), total("chars").alias("formatted_chars"))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
   coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS size,
@@ -103,6 +118,7 @@ QUERIES = {
     "op6_quality": quality_classifier,
     "op7_mixing": mixing_sources,
     "op8_exact_dedup": exact,
+    "op9_chat": chat_formatting,
     "op10_pii": personal_data,
 }
 ORACLE_SQL = {
