@@ -328,3 +328,180 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     label = F.coalesce("component", "node")
     labels = classes.join(parts, "node", "left").select(*names, F.when(label < STAND_IN, label).alias("component_id"))
     return docs.join(labels, names).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity of shingle sets: SimHash finds, sets verify.
+
+#: Bits in which the two words of a pair with 80 of 100 shingles in common may differ: 9.7 are expected, 14 and 18 leave 1.5 and 2.9 deviations.
+DISTANCE, FURTHER = 14, 18
+#: Classes whose shingle sets a task holds; larger coarse groups are verified as pairs of blocks.
+SETS = 1 << 12
+#: Bits of the filter of coarsely linked classes, at most (8 MB), and bits for each.
+FILTER_BITS, BITS_EACH = 1 << 26, 16
+
+
+def shingle_set(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
+    """(sorted distinct 32-bit shingle hashes, two fingerprint words of the set)."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, "<u4"), [0, 0]
+    joined = b" ".join(tokens)
+    if len(tokens) <= shingle:
+        grams = {joined}
+    else:
+        at = [0, *accumulate(len(x) + 1 for x in tokens)]
+        grams = {joined[a : b - 1] for a, b in zip(at, at[shingle:], strict=False)}
+    digest = xxhash.xxh64_intdigest
+    short = np.unique(np.array([digest(x, 42) & 0xFFFFFFFF for x in grams], dtype="<u4"))
+    out = []
+    for k in (1, 2):
+        own = _mixed(short.astype("<u8") + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        counts = np.zeros(64, np.int64)
+        rows = own.astype("<u8").view(np.uint8).reshape(-1, 8)
+        for i in range(0, len(rows), 255):
+            counts += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(short), bitorder="little").tobytes(), "little"))
+    return short, out
+
+
+def set_node(hashes: np.ndarray) -> int:
+    """A class's number: the hash of its set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between sets with a Jaccard similarity of least or more that keep connected parts together.
+
+    Each set that is reached compares with those not reached yet, all at once by
+    counting marked hashes; two empty sets are alike.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets) if sizes.sum() else np.zeros(0, np.uint32), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    waiting = np.ones(len(sets), bool)
+    live_ids, live_owner, live = ids, owner, len(sets)
+    out = []
+    for seed in range(len(sets)):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        reached = [seed]
+        while reached and waiting.any():
+            x = reached.pop()
+            own = ids[begin[x] : begin[x + 1]]
+            marked[own] = True
+            both = np.bincount(live_owner[marked[live_ids]], minlength=len(sets))
+            marked[own] = False
+            near = waiting & (both >= least * (sizes + sizes[x] - both) - 1e-9)
+            new = np.nonzero(near)[0]
+            waiting[new] = False
+            out += [(int(node[x]), int(node[y])) for y in new]
+            reached += new.tolist()
+            if (left := int(waiting.sum())) < live / 2:
+                keep = waiting[live_owner]
+                live_ids, live_owner, live = live_ids[keep], live_owner[keep], left
+    return out
+
+
+def _filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
+    k = keys.astype(np.int64).view(np.uint64)
+    a, b = _mixed(k), _mixed(k ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(4)], axis=1).astype(np.int64)
+
+
+def _filter(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """Bytes of a bloom filter over a column of longs, and its bits; at most FILTER_BITS, whatever the number of nodes."""
+    n = nodes.count()
+    bits = min(FILTER_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+
+    def over(batch):
+        at = np.unique(_filter_positions(batch.column(0).to_numpy(), bits).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at // 8), pa.array(1 << (at % 8))], names=["byte", "mask"])
+
+    found = arrow_map(nodes, over, "byte long, mask long", 10_000).groupBy("byte").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filled = np.zeros(bits // 8, np.uint8)
+    filled[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
+    return filled, bits
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS) -> DataFrame:
+    """doc_id, body_hash (xxhash64 of the text), component_id, kept of every row.
+
+    Two documents link if their sets of shingles have the similarity or more.
+    Pairs are found by fingerprints of two words, in coarse groups that may
+    hold less similar ones; within a coarse group sets are compared in full.
+    Of a group the row with the smallest (identifier, text hash) is kept.
+    """
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("body"), F.xxhash64(raw(text_col)).alias("body_hash"))
+
+    def marks(batch):
+        made = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
+        bits = np.array([m[1] for m in made], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_node(m[0]) for m in made], pa.int64()), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], names=["doc_id", "body_hash", "node", "w0", "w1"])
+
+    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, w0 long, w1 long"))
+    classes = cut(docs.select("node", "w0", "w1").dropDuplicates(["node"]))
+    coarse = components(links(classes, 2, distance, further, bucket))
+    coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
+    filled, bits = _filter(coarse.select("node"))
+    shared = df.sparkSession.sparkContext.broadcast(filled)
+
+    def sets(batch):
+        found = {}
+        for body in batch.column(0).to_pylist():
+            hashes = shingle_set(body, shingle)[0]
+            found[set_node(hashes)] = hashes
+        nodes = np.array(list(found), np.int64)
+        at = _filter_positions(nodes, bits)
+        hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([found[x].tobytes() for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
+
+    held = arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
+    blocks = F.ceil(F.col("n") / most_sets).cast("int")
+    sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    dealt = coarse.join(cut(sizes), "component").withColumn("blocks", blocks)
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 20) + F.greatest(x, mine))
+    dealt = cut(dealt.select("node", "component", F.explode(meets).alias("block"))).join(held, "node")
+    dealt = dealt.select("component", "block", "node", "hashes").repartition("component", "block").sortWithinPartitions("component", "block")
+
+    def verify(batches):
+        key, node, own = None, [], []
+
+        def found():
+            pairs = similar_links(np.array(node), own, similarity) if len(node) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for group, block, n, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, block) != key:
+                    yield from found()
+                    key, node, own = (group, block), [], []
+                node.append(n)
+                own.append(np.frombuffer(hashes, "<u4"))
+        yield from found()
+
+    parts = components(dealt.mapInArrow(verify, "a long, b long"))
+    parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
+    rows = docs.select("doc_id", "body_hash", "node").join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    rows = cut(rows.select("doc_id", "body_hash", "group"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("body_hash"))
+    first = rows.groupBy("group").agg(F.min(place).alias("first"))
+    out = rows.join(first, "group")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body_hash") == F.col("first.body_hash"))
+    return out.select("doc_id", "body_hash", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of df that stay when one of each group is kept; rows equal in identifier and text stay or go together.
+
+    The list of rows that go grows with the corpus, so it is joined by a
+    shuffle at every size.
+    """
+    gone = similar_groups(df, id_col, text_col, **settings).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("body_hash").alias("__gone_hash")).distinct().hint("merge")
+    on = (F.xxhash64(raw(text_col)) == F.col("__gone_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id"))
+    return df.join(gone, on, "left_anti")
