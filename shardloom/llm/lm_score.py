@@ -25,8 +25,12 @@ from shardloom.llm.common import arrow_map
 
 
 def matched_models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int = charlm.SYMBOLS, order: int = charlm.ORDER):
-    """(vocabulary, target table, background table) of losses in nats."""
-    ids = target_ids.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(1))
+    """(vocabulary, target table, background table) of losses in nats.
+
+    The target's identifiers grow with the corpus, so they are never broadcast:
+    the marking join shuffles the texts once at every size.
+    """
+    ids = target_ids.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(1)).hint("merge")
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left").select("__text", F.coalesce("__target", F.lit(0)).alias("__target"))
     vocabulary = charlm.fit_vocabulary(docs, text_col, symbols)
     rows = charlm.fetch(charlm.gram_counts(marked, vocabulary, ("__target",), "__text", order))
