@@ -102,6 +102,29 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN p USING (s) JOIN c USING (s, u)
 """
 
+CHAT_SQL = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+b AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM a),
+c AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) AS BIGINT) - tokens AS pos,
+  coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), -1) AS system FROM b),
+d AS (SELECT *, system >= 0 AND nth = 1 AS lead, greatest(1, 512 - 128 - greatest(system, 0)) AS room,
+  CASE WHEN system >= 0 AND nth = 1 THEN 0 ELSE pos - greatest(system, 0) END AS start FROM c),
+e AS (SELECT *, CASE WHEN lead THEN 0 ELSE start // room * 2 + CASE WHEN start > start // room * room AND start + tokens > (start // room + 1) * room THEN 1 ELSE 0 END END AS place FROM d),
+f AS (SELECT *, CASE WHEN nth = 1 OR place > lag(place) OVER (PARTITION BY conv_id ORDER BY nth) THEN 1 ELSE 0 END AS opens FROM e),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY nth) - 1 AS win,
+  length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) + 8 AS chars FROM f),
+h AS (SELECT x.conv_id, x.nth, count(y.nth) AS again FROM g x LEFT JOIN g y ON x.conv_id = y.conv_id AND y.nth BETWEEN x.nth + 1 AND x.nth + 4
+  AND y.opens = 1 AND y.start - x.start <= 128 AND NOT x.lead GROUP BY 1, 2),
+i AS (SELECT conv_id, max(win) AS wins FROM g GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(6 + chars + (again + CASE WHEN lead THEN wins ELSE 0 END) * (7 + chars)) AS BIGINT) AS formatted_chars
+FROM g JOIN h USING (conv_id, nth) JOIN i USING (conv_id) GROUP BY conv_id
+"""
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -124,4 +147,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op7_mixing": MIX_SQL,
     "op8_exact_dedup": EXACT_SQL,
+    "op9_chat": CHAT_SQL,
 }
