@@ -110,7 +110,8 @@ def term_spans(rows: DataFrame, docs: DataFrame, text_col: str, support: int, pa
     words = rows.filter(F.size("spans") > 0).select("__row", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("term"))
     pairs = cut(shared.join(words, "__row").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support))
     terms = cut(pairs.select("term").distinct())
-    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    written_terms = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(TERM), F.lit(0)))
+    everywhere = docs.select(F.explode(F.array_distinct(F.transform(written_terms, lambda x: F.lower(x)))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         counts = everywhere.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("c_t"))
     else:

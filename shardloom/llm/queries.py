@@ -102,6 +102,36 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN p USING (s) JOIN c USING (s, u)
 """
 
+PII_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+k(o, kind, pat) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'term', '\p{L}{4,}')),
+u AS (SELECT r, o, kind, unnest(regexp_extract_all(text, pat)) AS hit, unnest(regexp_split_to_array(text, pat)) AS gap,
+  unnest(generate_series(1, len(regexp_split_to_array(text, pat)))) AS i FROM d, k),
+p AS (SELECT r, o, kind, hit, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS "end" FROM u),
+v AS (SELECT r, o, kind, hit, "end" - length(hit) AS start, "end", regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM p WHERE hit IS NOT NULL),
+base AS (SELECT * FROM v WHERE o = 1
+  OR (o = 2 AND list_min(list_transform(string_split(hit, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) <= 3 AND CAST('0' || ltrim(x, '0') AS BIGINT) <= 255 THEN 1 ELSE 0 END)) = 1)
+  OR (o = 3 AND length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda x, j: CASE WHEN j % 2 = 1 THEN CAST(x AS BIGINT)
+    WHEN CAST(x AS BIGINT) > 4 THEN 2 * CAST(x AS BIGINT) - 9 ELSE 2 * CAST(x AS BIGINT) END)) % 10 = 0)
+  OR (o = 4 AND length(digits) BETWEEN 9 AND 15)),
+n AS (SELECT count(*) AS n FROM d),
+e AS (SELECT DISTINCT r, kind || ':' || hit AS e FROM base),
+t AS (SELECT DISTINCT r, lower(hit) AS t FROM v WHERE o = 5),
+ce AS (SELECT e, count(*) AS ce FROM e GROUP BY 1 HAVING count(*) >= 2),
+ct AS (SELECT t, count(*) AS ct FROM t GROUP BY 1),
+cet AS (SELECT e, t, count(*) AS cet FROM e JOIN ce USING (e) JOIN t USING (r) GROUP BY 1, 2 HAVING count(*) >= 2),
+disc AS (SELECT e, t, ln(n * cet::DOUBLE / (ce::DOUBLE * ct)) / ln(n / ce::DOUBLE) AS x FROM cet JOIN ce USING (e) JOIN ct USING (t), n WHERE ce < n),
+flag AS (SELECT r, t, max(x) AS x FROM e JOIN disc USING (e) JOIN t USING (r, t) WHERE x >= 0.9 - 1e-9 GROUP BY 1, 2),
+more AS (SELECT v.r, CASE WHEN x >= 1 - 1e-9 THEN 'removed' ELSE 'generalised' END AS kind, v.start, v."end" FROM v JOIN flag ON v.r = flag.r AND lower(v.hit) = flag.t
+  WHERE v.o = 5 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = v.r AND b.start < v."end" AND v.start < b."end")),
+b AS (SELECT r, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY o, start) AS s FROM base GROUP BY 1),
+m AS (SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY kind, start) AS s FROM more GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(b.s, '')) AS base_sha256, concat_ws(',', b.s, m.s) AS spans FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
+"""
+
 CHAT_SQL = r"""
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -148,4 +178,5 @@ ORACLE_SQL = {
     "op7_mixing": MIX_SQL,
     "op8_exact_dedup": EXACT_SQL,
     "op9_chat": CHAT_SQL,
+    "op10_pii": PII_SQL,
 }
