@@ -1,11 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Every line's hash has an owner: the earliest document that holds it. A later
-document is aligned with each owner of its lines, once for each, so a line in
-any number of documents makes one pair a document and no pair of equals is
-missed: whatever a document shares with an earlier one, it shares with the
-owner of that line. Of the lines that lead to an owner the rarest (in fewest
-documents) is kept with the pair.
+Overlapping documents are found by the hashes of shared lines. A line in at
+most RARE documents pairs each of them with every earlier one. A line in more
+documents, however many, pairs each with its owner, the earliest document that
+holds it, so frequent lines need no cap and make one pair a document. A pair is
+aligned once, whatever the number of lines that lead to it.
 
 The pair's line hashes are aligned by patience diff: lines that occur once in
 both anchor the alignment by a longest rising run, and the gaps between anchors
@@ -19,8 +18,8 @@ twice and shuffled once, to be joined to their deletions.
 Defined results: null text has no lines; blank lines lead to no pair but are
 deleted inside an aligned block; a null identifier comes after all others, and
 rows that repeat an identifier are ordered by their text's hash, so equal rows
-count as one document and keep their lines alike; a document keeps its own
-repeats; an empty table gives an empty table; other columns are ignored.
+count as one document and keep their lines alike; repeats within a document
+are no overlap; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +35,8 @@ from shardloom.llm.common import arrow_map, cut, raw
 
 #: Words that an aligned common block must hold to be deleted.
 WORDS = 8
+#: Documents of a line up to which all of them are paired.
+RARE = 4
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,14 +123,16 @@ def _key():
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("body_hash"))
 
 
-def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """(documents with key, doc_id, lines; deletions with key, blocks)."""
     docs = cut(hashed_lines(df, id_col, text_col).withColumn("key", _key()).dropDuplicates(["key"]))
     pairs_of = F.arrays_zip("lines", "sizes")
     each = docs.select("key", F.explode(F.array_distinct(F.transform(F.filter(pairs_of, lambda x: x["sizes"] > 0), lambda x: x["lines"]))).alias("line"))
     owners = cut(each.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("documents")).filter("documents > 1"))
-    found = each.join(owners, "line").filter(F.col("key") != F.col("owner"))
-    pairs = found.groupBy("key", "owner").agg(F.min("documents").alias("rarest"))
+    owned = each.join(owners, "line").filter(F.col("key") != F.col("owner")).select("key", "owner")
+    few = cut(each.join(owners.filter(F.col("documents").between(3, rare)).select("line"), "line"))
+    earlier = few.join(few.select("line", F.col("key").alias("owner")), "line").filter(F.col("owner") < F.col("key")).select("key", "owner")
+    pairs = owned.union(earlier).distinct()
     mine = docs.select("key", "lines", "sizes")
     theirs = docs.select(F.col("key").alias("owner"), F.col("lines").alias("others"))
     both = pairs.join(theirs, "owner").select("key", "others").join(mine, "key").select("key", "lines", "sizes", "others")
