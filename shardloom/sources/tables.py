@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_cuts: list[tuple[SparkSession, str]] = []
+
 #: The tables that a data folder holds.
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -32,9 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     Cuts lineage so that a lost executor costs no recomputation beyond this
     point, and gives the planner real sizes for what follows.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _cuts.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_cuts() -> None:
+    """Removes the files that cut() has written so far; frames that still read them are lost.
+
+    Runs when the driver's interpreter ends; a long-lived driver can call it
+    between jobs.
+    """
+    while _cuts:
+        spark, path = _cuts.pop()
+        with contextlib.suppress(Exception):  # the session may be gone already
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
