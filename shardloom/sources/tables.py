@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,21 @@ TABLES = (
 )
 
 
+#: The folder that this package is imported from.
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Lets Python workers find this package whatever folder the driver was started in; a cluster can ship it instead."""
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; Spark's own reader, so any Hadoop path works."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
