@@ -68,6 +68,8 @@ def lookup(df: DataFrame, key: str, wanted) -> DataFrame:
     return df.filter(F.col(key) == wanted)
 
 
-def first_committed(df: DataFrame, keys: list[str], attempt: str, *order: str) -> DataFrame:
-    """The attempt that asks first of each group wins the right to commit."""
-    return df.groupBy(*keys).agg(F.min_by(attempt, F.struct(*order)).alias("winner"), F.count("*").alias("attempts"))
+def first_committed(df: DataFrame, keys: list[str], attempt: str, *order: str, failed: Column | None = None) -> DataFrame:
+    """The attempt that asks first of each group wins the right to commit; a failed one gives it back to the next."""
+    able = F.col(attempt) if failed is None else F.when(~failed, F.col(attempt))
+    place = F.struct(*order) if failed is None else F.when(~failed, F.struct(*order))
+    return df.groupBy(*keys).agg(F.min_by(able, place).alias("winner"), F.count("*").alias("attempts"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shardloom.sources.tables import cut
 
@@ -48,6 +48,17 @@ def eviction_order(blocks: DataFrame, used: str, block: str, *group: str) -> Dat
     return blocks.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy(used, block)).cast("long"))
 
 
+def replica_peers(blocks: DataFrame, block: str, peers: list, held: Column, count: int) -> DataFrame:
+    """For each block `count` of the peers that hold no replica yet (held: array of those that do), in an order drawn from its name.
+
+    The draw is a digest, so every run and every node chooses alike. Peers are
+    the cluster's nodes, a list; each block orders them in its own row.
+    """
+    free = F.filter(F.array(*map(F.lit, peers)), lambda p: ~F.array_contains(held, p))
+    drawn = F.transform(free, lambda p: F.struct(F.sha2(F.concat_ws(":", F.col(block).cast("string"), p.cast("string")), 256).alias("draw"), p.alias("peer")))
+    return blocks.select(block, F.posexplode(F.slice(F.array_sort(drawn), 1, count)).alias("turn", "p")).select(block, (F.col("turn") + 1).cast("long").alias("turn"), F.col("p.peer").alias("peer"))
+
+
 def spill_choice(consumers: DataFrame, need: int, used: str, *group: str) -> DataFrame:
     """The bytes of the consumer that spills: the smallest that frees enough, else the largest."""
     enough = F.min(F.when(F.col(used) >= need, F.col(used)))

@@ -96,6 +96,12 @@ def commit_winner(spark, sf_dir):
     return keyed.first_committed(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "ts", "event_id")
 
 
+@register("commit_after_failures", "SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (value >= 10) AS winner, count(*) AS attempts FROM events GROUP BY 1")
+def commit_after_failures(spark, sf_dir):
+    """Attempts of low value count as failed."""
+    return keyed.first_committed(table(spark, sf_dir, "events"), ["user_id"], "event_id", "ts", "event_id", failed=F.col("value") < 10)
+
+
 # Projection, filtering, sets
 
 
@@ -326,6 +332,13 @@ def memory_shares(spark, sf_dir):
     return sharing.memory_shares(tasks, 1000, "held", "l_orderkey").drop("held")
 
 
+@register("replica_peers", "SELECT * FROM (SELECT p_partkey, peer, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(p_partkey || ':' || peer)) AS turn FROM part, range(1, 11) n(peer) WHERE p_partkey % 10 + 1 <> peer) WHERE turn <= 2")
+def replica_peers(spark, sf_dir):
+    """Two more of ten nodes for each part's block; one holds it already."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    return sharing.replica_peers(parts, "p_partkey", list(range(1, 11)), F.array((F.col("p_partkey") % 10 + 1).cast("int")), 2).withColumn("peer", F.col("peer").cast("long"))
+
+
 # Scalar functions
 
 
