@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.llm.common import in_steps, let_workers_import
+
 #: Symbols of a vocabulary and order of the models.
 SYMBOLS, ORDER = 48, 4
 #: Grams that a task gathers before it adds them to its table.
-GATHER = 1 << 22
+GATHER = 1 << 20
 #: Characters from this one on are always the symbol of the rest.
 PLANE = 1 << 16
 OTHER, AGAIN = 0, 1
@@ -70,7 +72,7 @@ def fit_vocabulary(df: DataFrame, text_col: str = "text", symbols: int = SYMBOLS
 
     def over(batches):
         total = np.zeros(PLANE, np.int64)
-        for batch in batches:
+        for batch in in_steps(batches):
             for text in batch.column(0).to_pylist():
                 points = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
                 total += np.bincount(points[points < PLANE - 1], minlength=PLANE) if len(points) > 20_000 else 0
@@ -80,6 +82,7 @@ def fit_vocabulary(df: DataFrame, text_col: str = "text", symbols: int = SYMBOLS
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["point", "n"])
 
+    let_workers_import(df.sparkSession)
     counts = df.select(text_col).mapInArrow(over, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "point").limit(symbols - 2).collect()
     return Vocabulary([chr(r.point) for r in top], symbols)
@@ -103,7 +106,7 @@ def gram_counts(df: DataFrame, vocabulary: Vocabulary, mark_cols: tuple[str, ...
                 totals[k] += np.bincount(np.concatenate(waiting[k]), minlength=cells)
                 waiting[k], held[k] = [], 0
 
-        for batch in batches:
+        for batch in in_steps(batches):
             marks = [c.to_pylist() for c in batch.columns[1:]]
             for row, text in enumerate(batch.column(0).to_pylist()):
                 grams = vocabulary.grams(text or "", order)

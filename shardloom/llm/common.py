@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shardloom.sources.tables import cut, shared_dir, table  # noqa: F401  one place to import from
+from shardloom.sources.tables import cut, let_workers_import, table  # noqa: F401  one place to import from
 
 #: The white space that the contracts name: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -16,6 +16,14 @@ STEP = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def in_steps(batches: Iterator[pa.RecordBatch], step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, step rows at a time; at the end Arrow gives back what it holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, step: int = STEP) -> DataFrame:
     """Applies a function of an Arrow batch, STEP rows at a time; no state is kept between calls.
 
@@ -24,10 +32,10 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                yield from function(batch.slice(at, step))
+        for batch in in_steps(batches, step):
+            yield from function(batch)
 
+    let_workers_import(df.sparkSession)
     return df.mapInArrow(over, schema)
 
 

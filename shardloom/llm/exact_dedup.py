@@ -15,62 +15,48 @@ other columns are ignored (owners) or carried along (distinct_rows).
 from __future__ import annotations
 
 import hashlib
-import io
+import pickle
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shardloom.llm.common import arrow_map, id_order, normal_space, raw
+from shardloom.llm.common import arrow_map, id_order, in_steps, normal_space, raw
 from shardloom.llm.radix import RadixOwners
 
 #: Bytes of strings that one task's trie holds before it spills a subtree.
 TRIE_BYTES = 64 << 20
 #: Rows among which copies are folded before the shuffle.
-FOLD = 10_000
+FOLD = 2048
 
 
-def _folded(batch: pa.RecordBatch, out: pa.Schema, carry: list[str]) -> list[pa.RecordBatch]:
-    """One row for each distinct text of the batch."""
+def _folded(batch: pa.RecordBatch) -> tuple[list[int], list[pa.Array]]:
+    """The owner's row of each distinct text of the batch, and columns n, h, doc, copies, body."""
     first: dict[bytes, list] = {}
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for row, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+    for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
         mine = first.setdefault(normal_space(text), [doc, 0, row])
         mine[1] += 1
         if id_order(doc) < id_order(mine[0]):
             mine[0], mine[2] = doc, row
     rows = [x[2] for x in first.values()]
-    columns = [
-        pa.array([len(x) for x in first], pa.int64()),
-        pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in first], pa.int64()),
-        pa.array([x[0] for x in first.values()], pa.int64()),
-        pa.array([x[1] for x in first.values()], pa.int64()),
-    ]
-    taken = batch.take(pa.array(rows, pa.int64()))
-    if carry:
-        columns.append(pa.array([_one_row(taken, i, carry) for i in range(len(rows))], pa.binary()))
-    columns.append(taken.column(1))
-    return [pa.RecordBatch.from_arrays(columns, schema=out)]
-
-
-def _one_row(batch: pa.RecordBatch, i: int, carry: list[str]) -> bytes:
-    sink = io.BytesIO()
-    row = batch.slice(i, 1).select(carry)
-    with pa.ipc.new_stream(sink, row.schema) as writer:
-        writer.write_batch(row)
-    return sink.getvalue()
+    numbers = [[len(x) for x in first], [xxhash.xxh3_64_intdigest(x) - 2**63 for x in first], [x[0] for x in first.values()], [x[1] for x in first.values()]]
+    return rows, [*(pa.array(x, pa.int64()) for x in numbers), batch.column(1).take(pa.array(rows, pa.int64()))]
 
 
 def _owners(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
     """text_sha (binary), keep_id, group_size: one row for each distinct text."""
     schema = "n long, h long, doc long, copies long, body binary"
-    out = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
+
+    def fold(batch):
+        yield pa.RecordBatch.from_arrays(_folded(batch)[1], names=["n", "h", "doc", "copies", "body"])
+
     slim = df.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("body"))
-    dealt = arrow_map(slim, lambda b: _folded(b, out, []), schema, FOLD).repartition("n", "h")
+    dealt = arrow_map(slim, fold, schema, FOLD).repartition("n", "h")
 
     def insert(batches):
         trie = RadixOwners(limit)
-        for batch in batches:
+        for batch in in_steps(batches):
             for doc, copies, body in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 text = normal_space(body)
                 trie.insert(text, doc, copies, hashlib.sha256(text).digest())
@@ -105,32 +91,32 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRIE_BYTES) -> DataFrame:
     """The owner's row of each distinct text, with all columns of df.
 
-    One shuffle of the rows that are left after folding; the trie's tags are the
-    owners' whole rows in Arrow's stream format.
+    One shuffle of the rows that are left after folding. A trie's tags hold what
+    the owner's row has besides its normalised text.
     """
     names = df.columns
-    key, body = "__owner_id", "__owner_body"
-    fields = "n long, h long, doc long, copies long, whole binary, body binary"
-    out = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("copies", pa.int64()), ("whole", pa.binary()), ("body", pa.binary())])
-    inner = [f"__c{i}" for i in range(len(names))]
-    wide = df.select(F.col(f"`{id_col}`").cast("long").alias(key), raw(text_col).alias(body), *[F.col(f"`{c}`").alias(x) for c, x in zip(names, inner, strict=True)])
+    at = names.index(text_col)
+    others = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names) if i != at]
+    wide = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), raw(text_col).alias("__body"), F.col(f"`{text_col}`").isNull().alias("__null"), *others)
+    types = to_arrow_schema(df.schema)
 
     def fold(batch):
-        for whole in _folded(batch, out, inner):
-            yield whole.select(["n", "h", "doc", "whole", "body"])
+        rows, columns = _folded(batch)
+        values = list(zip(*(c.take(pa.array(rows, pa.int64())).to_pylist() for c in batch.columns[2:]), strict=True))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([pickle.dumps(x, 5) for x in values], pa.binary())], names=["n", "h", "doc", "copies", "body", "rest"])
 
-    dealt = arrow_map(wide, fold, "n long, h long, doc long, whole binary, body binary", FOLD).repartition("n", "h").select("doc", "whole", "body")
+    dealt = arrow_map(wide, fold, "n long, h long, doc long, copies long, body binary, rest binary", FOLD).repartition("n", "h").select("doc", "body", "rest")
 
     def insert(batches):
         trie = RadixOwners(limit)
-        for batch in batches:
-            for doc, whole, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                trie.insert(normal_space(text), doc, 1, whole)
+        for batch in in_steps(batches):
+            for doc, body, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                trie.insert(normal_space(body), doc, 1, pickle.dumps((body, rest), 5))
         rows = trie.rows()
-        while part := [x[2] for _, x in zip(range(1000), rows)]:
-            found = pa.Table.from_batches([b for x in part for b in pa.ipc.open_stream(x)])
-            yield from found.combine_chunks().to_batches()
+        while part := [pickle.loads(x[2]) for _, x in zip(range(512), rows)]:
+            made = [(None if (values := pickle.loads(rest))[0] else body.decode(), values[1:]) for body, rest in part]
+            columns = [[values[i - (i > at)] if i != at else body for body, values in made] for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], names=[f"__c{i}" for i in range(len(names))])
 
-    types = ", ".join(f"{x} {df.schema[c].dataType.simpleString()}" for c, x in zip(names, inner, strict=True))
-    kept = dealt.mapInArrow(insert, types)
-    return kept.select(*[F.col(x).alias(c) for c, x in zip(names, inner, strict=True)])
+    fields = ", ".join(f"__c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    return dealt.mapInArrow(insert, fields).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
