@@ -30,7 +30,7 @@ def combine_opaque(df: DataFrame, key: str, value: str, create: Callable, merge_
     """key and finish(combiner) for any triple of Python functions; merge_value takes (value, combiner).
 
     Nulls are one key. Combiners travel pickled; only they are shuffled, one for
-    each key and batch.
+    each key and batch, and merged as each task streams its keys in order.
     """
     key_type = df.schema[key].dataType.simpleString()
 
@@ -42,15 +42,26 @@ def combine_opaque(df: DataFrame, key: str, value: str, create: Callable, merge_
                 held[k] = merge_value(v, held[k]) if k in held else create(v)
             yield pd.DataFrame({"key": pd.Series(list(held), dtype=object), "combiner": [pickle.dumps(c) for c in held.values()]})
 
-    def final(pdf):
-        found = [pickle.loads(c) for c in pdf["combiner"]]
-        whole = found[0]
-        for c in found[1:]:
-            whole = merge_combiners(whole, c)
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "value": [finish(whole)]})
+    def final(batches):
+        last, whole = None, None  # whole: a list of the one combiner so far
+        for pdf in batches:
+            keys, values = [], []
+            for k, packed in zip(pdf["key"], pdf["combiner"], strict=True):
+                k, c = None if pd.isna(k) else k, pickle.loads(packed)
+                if whole and k == last:
+                    whole = [merge_combiners(whole[0], c)]
+                    continue
+                if whole:
+                    keys.append(last)
+                    values.append(finish(whole[0]))
+                last, whole = k, [c]
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "value": pd.Series(values, dtype=object)})
+        if whole:
+            yield pd.DataFrame({"key": pd.Series([last], dtype=object), "value": pd.Series([finish(whole[0])], dtype=object)})
 
     pairs = df.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    return pairs.mapInPandas(partial, f"key {key_type}, combiner binary").groupBy("key").applyInPandas(final, f"key {key_type}, value {result}")
+    dealt = pairs.mapInPandas(partial, f"key {key_type}, combiner binary").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(final, f"key {key_type}, value {result}")
 
 
 def upsert(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
