@@ -164,6 +164,8 @@ def allotted(both: np.ndarray, total: int, distance: int, most_parts: int = 6) -
         need = distance - parts + 1
         if need in table and table[need][0] < best[0]:
             best = (table[need][0], [(g, t) for g, t in zip(groups, table[need][1], strict=True) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no thresholds up to 4 in {most_parts} partitions cover a distance of {distance}")
     return best[1]
 
 
@@ -335,7 +337,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 #: Bits in which the two words of a pair with 80 of 100 shingles in common may differ: 9.7 are expected, 14 and 18 leave 1.5 and 2.9 deviations.
 DISTANCE, FURTHER = 14, 18
 #: Classes whose shingle sets a task holds; larger coarse groups are verified as pairs of blocks.
-SETS = 1 << 12
+SETS = 1 << 10
 #: Bits of the filter of coarsely linked classes, at most (8 MB), and bits for each.
 FILTER_BITS, BITS_EACH = 1 << 26, 16
 

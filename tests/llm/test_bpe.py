@@ -66,4 +66,6 @@ def test_odd_rows(spark):
     out = bpe.bpe_decode(bpe.bpe_encode(df, PATH), PATH).select("doc_id", "text", "n_tokens", "decoded", bpe.ids_array().alias("list")).collect()
     assert sorted((r.n_tokens, r.decoded) for r in out) == [(0, ""), (0, ""), (2, "hello world"), (2, "hello world")]
     assert [r.list for r in out if r.n_tokens] == [[31373, 995]] * 2
-    assert bpe.bpe_encode(df.limit(0), PATH).count() == 0
+    once = bpe.bpe_roundtrip(df, PATH).select("doc_id", "n_tokens", "decoded", bpe.ids_array().alias("list")).collect()
+    assert sorted(map(repr, once)) == sorted(repr(type(once[0])(doc_id=r.doc_id, n_tokens=r.n_tokens, decoded=r.decoded, list=r.list)) for r in out)
+    assert bpe.bpe_encode(df.limit(0), PATH).count() == bpe.bpe_roundtrip(df.limit(0), PATH).count() == 0

@@ -74,6 +74,11 @@ def test_thresholds_cover_the_distance(distance):
     assert sum(t + 1 for _, t in plan) == distance + 1  # a pair that misses every partition differs in more bits
 
 
+def test_distance_that_cannot_be_covered():
+    with pytest.raises(ValueError, match="distance of 40"):
+        simhash.allotted(np.eye(64, dtype=int), 10, 40)
+
+
 def test_odd_rows(spark):
     rows = [(3, None, "x"), (None, "", "y"), (7, " \n", "z"), (1, "a b c d e f", "q"), (1, "a b c d e f", "q"), (9, "A B C D E F", "q"), (None, "zz yy xx ww vv uu", "n")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
