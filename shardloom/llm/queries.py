@@ -29,8 +29,7 @@ def quality_classifier(spark, sf_dir):
 def bpe_roundtrip(spark, sf_dir, vocabulary: str | None = None):
     """Encodes and decodes every document; digests of the ids and of the decoded text."""
     path = vocabulary or _vocabulary("byte_bpe_50k.json")
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    both = bpe.bpe_decode(ids, path)
+    both = bpe.bpe_roundtrip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
