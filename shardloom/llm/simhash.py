@@ -192,6 +192,21 @@ def signatures(w: np.ndarray, plan: list[tuple[list[int], int]]) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that join two parts not joined before, in the order given."""
+    parent: dict[int, int] = {}
+    kept = []
+    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        while (up := parent.get(y, y)) != y:
+            parent[y] = y = parent.get(up, up)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return left[kept], right[kept]
+
+
 def bucket_links(node: np.ndarray, w: np.ndarray, distance: int, further: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Links that keep a bucket's connected parts together; w: one row of words for each node.
 
@@ -223,7 +238,8 @@ def bucket_links(node: np.ndarray, w: np.ndarray, distance: int, further: int |
         if found > 4 * n + 64:
             break
     else:
-        return node[np.concatenate(left)], node[np.concatenate(right)]
+        left, right = _forest(np.concatenate(left), np.concatenate(right))
+        return node[left], node[right]
     left, right, rest = [], [], every
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
@@ -337,7 +353,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 #: Bits in which the two words of a pair with 80 of 100 shingles in common may differ: 9.7 are expected, 14 and 18 leave 1.5 and 2.9 deviations.
 DISTANCE, FURTHER = 14, 18
 #: Classes whose shingle sets a task holds; larger coarse groups are verified as pairs of blocks.
-SETS = 1 << 10
+SETS = 1 << 12
 #: Bits of the filter of coarsely linked classes, at most (8 MB), and bits for each.
 FILTER_BITS, BITS_EACH = 1 << 26, 16
 
