@@ -348,12 +348,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return docs.join(labels, names).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similarity of shingle sets: SimHash finds, sets verify.
+# Similarity of shingle sets: SimHash finds most links, prefixes find the rest, sets verify.
 
 #: Bits in which the two words of a pair with 80 of 100 shingles in common may differ: 9.7 are expected, 14 and 18 leave 1.5 and 2.9 deviations.
 DISTANCE, FURTHER = 14, 18
 #: Classes whose shingle sets a task holds; larger coarse groups are verified as pairs of blocks.
 SETS = 1 << 12
+#: Prefixes that hold a shingle from which on it comes after rarer ones, and such shingles that are told apart at most (16 MB).
+HEAVY, MOST_HEAVY = 32, 1 << 20
+#: Words of parity bits by which candidates of prefixes are sifted; a power of two.
+PARITY = 4
 #: Bits of the filter of coarsely linked classes, at most (8 MB), and bits for each.
 FILTER_BITS, BITS_EACH = 1 << 26, 16
 
@@ -423,6 +427,139 @@ def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> lis
     return out
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes; their low halves are the hashes of shingle_set."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(tokens)
+    if len(tokens) <= shingle:
+        grams = {joined}
+    else:
+        at = [0, *accumulate(len(x) + 1 for x in tokens)]
+        grams = {joined[a : b - 1] for a, b in zip(at, at[shingle:], strict=False)}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x, 42) for x in grams], dtype="<u8"))
+
+
+def prefix(hashes: np.ndarray, least: float, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in a fixed order, as many as it takes that any set of similarity least or more shares one of its own.
+
+    The order is by weight, 0 for all hashes that are not in heavy (sorted),
+    then by hash. Any order that is the same for all sets is right; this one
+    leaves common shingles out of nearly all prefixes.
+    """
+    n = len(hashes)
+    if len(heavy) and n:
+        at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+        hashes = hashes[np.argsort(np.where(heavy[at] == hashes, weight[at], 0), kind="stable")]
+    return hashes[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words of bits, each the parity of the number of a set's hashes that fall on it.
+
+    Words of two sets differ in at most as many bits as the sets in elements.
+    """
+    odd = np.bincount((_mixed(hashes.astype("<u8")) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def run_pairs(rows: np.ndarray, least: float):
+    """Pairs (node, node) of rows (key, size, node, group, place, parity words) with one key that can have the similarity and are not of one group.
+
+    rows are sorted by key and size; place is the key's in the set's order, so
+    at most the smaller number before it and after it is in both sets.
+    """
+    bits = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+    last = np.flatnonzero(np.append(rows[1:, 0] != rows[:-1, 0], True))
+    end = np.repeat(last, np.diff(np.concatenate([[-1], last])))
+    i, lag = np.arange(len(rows)), 1
+    while len(i):
+        i = i[i + lag <= end[i]]
+        i = i[rows[i, 1] >= least * rows[i + lag, 1] - 1e-9]
+        a, b = rows[i], rows[i + lag]
+        most = np.minimum(a[:, 4], b[:, 4]) + np.minimum(a[:, 1] - a[:, 4], b[:, 1] - b[:, 4])
+        ok = (a[:, 3] != b[:, 3]) & (most >= least * (a[:, 1] + b[:, 1] - most) - 1e-9)
+        ok &= np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64) <= (a[:, 1] + b[:, 1]) * (1 - least) / (1 + least) + 1e-9
+        if ok.any():
+            yield np.minimum(a[ok, 2], b[ok, 2]), np.maximum(a[ok, 2], b[ok, 2])
+        lag += 1
+
+
+def runs(batches):
+    """Rows of Arrow batches of longs sorted by their first column, as arrays that no run of it is cut by."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        change = np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1
+        if held and held[-1][-1, 0] != table[0, 0]:
+            yield np.concatenate(held)
+            held = []
+        if len(change):
+            yield np.concatenate([*held, table[: change[-1]]])
+            held, table = [], table[change[-1] :]
+        held.append(table)
+    if held:
+        yield np.concatenate(held)
+
+
+def missed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float, heavy_from: int = HEAVY) -> DataFrame:
+    """a, b: candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
+
+    slim: body; groups: node, component of all classes, by what is linked already, and their parity words.
+    """
+    context = slim.sparkSession.sparkContext
+    none = np.zeros(0, "<u8"), np.zeros(0, np.int64)
+
+    def prefixes(shared):
+        def over(batch):
+            heavy, weight = shared.value if shared is not None else none
+            keys, nodes, sizes, places = [], [], [], []
+            for body in batch.column(0).to_pylist():
+                hashes = shingle_hashes(body, shingle)
+                if len(hashes):
+                    own = prefix(hashes, least, heavy, weight)
+                    keys.append(own)
+                    nodes.append(np.full(len(own), set_node(np.unique(hashes.astype("<u4")))))
+                    sizes.append(np.full(len(own), len(hashes)))
+                    places.append(np.arange(len(own)))
+            if keys:
+                keys = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, nodes, places))], names=["key", "size", "node", "place"])
+
+        return arrow_map(slim.select("body"), over, "key long, size long, node long, place long")
+
+    counts = cut(prefixes(None).groupBy("key").count().filter(F.col("count") > heavy_from))
+    found = counts.orderBy(F.desc("count"), "key").limit(MOST_HEAVY).toArrow()
+    heavy = found.column(0).to_numpy().astype(np.int64).view("<u8")
+    order = np.argsort(heavy)
+    shared = context.broadcast((heavy[order], found.column(1).to_numpy().astype(np.int64)[order]))
+
+    def again(batches):
+        for rows in runs(batches):
+            first = np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2]))
+            rows = rows[first]
+            same = rows[1:, 0] == rows[:-1, 0]
+            rows = rows[np.append(same, False) | np.append(False, same)]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["key", "size", "node", "place"])
+
+    schema = "key long, size long, node long, place long"
+    repeated = cut(prefixes(shared).repartition("key").sortWithinPartitions("key", "node").mapInArrow(again, schema))
+    words = [f"p{k}" for k in range(PARITY)]
+    named = repeated.join(groups, "node").select("key", "size", "node", "component", "place", *words)
+
+    def pairs(batches):
+        for rows in runs(batches):
+            for a, b in run_pairs(rows, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return cut(named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(pairs, "a long, b long").distinct())
+
+
 def _filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
     k = keys.astype(np.int64).view(np.uint64)
     a, b = _mixed(k), _mixed(k ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
@@ -449,35 +586,44 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, body_hash (xxhash64 of the text), component_id, kept of every row.
 
     Two documents link if their sets of shingles have the similarity or more.
-    Pairs are found by fingerprints of two words, in coarse groups that may
+    Most are found by fingerprints of two words, in coarse groups that may
     hold less similar ones; within a coarse group sets are compared in full.
+    Prefix filtering finds every pair that is left, whatever its fingerprints.
     Of a group the row with the smallest (identifier, text hash) is kept.
     """
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("body"), F.xxhash64(raw(text_col)).alias("body_hash"))
 
+    odd = [f"p{k}" for k in range(PARITY)]
+
     def marks(batch):
         made = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
         bits = np.array([m[1] for m in made], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_node(m[0]) for m in made], pa.int64()), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], names=["doc_id", "body_hash", "node", "w0", "w1"])
+        sifts = np.array([parity(m[0]) for m in made], dtype=np.int64).reshape(-1, PARITY)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_node(m[0]) for m in made], pa.int64()), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), *(pa.array(np.ascontiguousarray(sifts[:, k])) for k in range(PARITY))], names=["doc_id", "body_hash", "node", "w0", "w1", *odd])
 
-    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, w0 long, w1 long"))
-    classes = cut(docs.select("node", "w0", "w1").dropDuplicates(["node"]))
+    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, w0 long, w1 long, " + ", ".join(f"{x} long" for x in odd)))
+    classes = cut(docs.select("node", "w0", "w1", *odd).dropDuplicates(["node"]))
     coarse = components(links(classes, 2, distance, further, bucket))
     coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
-    filled, bits = _filter(coarse.select("node"))
-    shared = df.sparkSession.sparkContext.broadcast(filled)
-
-    def sets(batch):
-        found = {}
-        for body in batch.column(0).to_pylist():
-            hashes = shingle_set(body, shingle)[0]
-            found[set_node(hashes)] = hashes
-        nodes = np.array(list(found), np.int64)
-        at = _filter_positions(nodes, bits)
-        hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([found[x].tobytes() for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
-
-    held = arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
+
+    def held_sets(nodes):
+        """node, hashes of the classes in nodes, and of a few more."""
+        filled, bits = _filter(nodes)
+        shared = df.sparkSession.sparkContext.broadcast(filled)
+
+        def sets(batch):
+            found = {}
+            for body in batch.column(0).to_pylist():
+                hashes = shingle_set(body, shingle)[0]
+                found[set_node(hashes)] = hashes
+            nodes = np.array(list(found), np.int64)
+            at = _filter_positions(nodes, bits)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([found[x].tobytes() for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
+
+        return arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
+
+    held = held_sets(coarse.select("node"))
     blocks = F.ceil(F.col("n") / most_sets).cast("int")
     sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
     dealt = coarse.join(cut(sizes), "component").withColumn("blocks", blocks)
@@ -505,6 +651,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parts = components(dealt.mapInArrow(verify, "a long, b long"))
     parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
+    groups = classes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *odd)
+    more = missed_links(slim, groups, shingle, similarity)
+    if not more.isEmpty():
+        kept_sets = cut(held_sets(more.select(F.col("a").alias("node")).union(more.select("b")).distinct()))
+        left = kept_sets.select(F.col("node").alias("a"), F.col("hashes").alias("mine"))
+        right = kept_sets.select(F.col("node").alias("b"), F.col("hashes").alias("theirs"))
+
+        def judge(batch):
+            ok = []
+            for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(mine, "<u4"), np.frombuffer(theirs, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+        judged = arrow_map(more.join(left, "a").join(right, "b").select("a", "b", "mine", "theirs"), judge, "a long, b long")
+        parts = components(judged.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     rows = docs.select("doc_id", "body_hash", "node").join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))
     rows = cut(rows.select("doc_id", "body_hash", "group"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("body_hash"))

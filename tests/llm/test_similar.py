@@ -88,3 +88,41 @@ def test_odd_rows(spark):
     assert kept == [(-1, "e"), (2, "a"), (5, "c"), (5, "c"), (5, "f")]
     assert simhash.similar_kept(df).columns == df.columns
     assert simhash.similar_kept(df.limit(0)).count() == 0
+
+
+def near_threshold_rows(seed=11):
+    """Pairs at a similarity of 0.8 or a little above, short and longer ones, and unlike texts that share a common passage."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common = words(9)
+    rows = []
+    for _ in range(150):
+        for n, more in ((8, 1), (16, 3), (24, 5), (204, 50)):
+            text = words(n)
+            rows += [text, text + words(more)]
+        rows.append(common + words(20))
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rows = near_threshold_rows()
+    want, n = grouped(rows)
+    assert n == 600
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    heavy = np.sort(rng.choice(60, 20, replace=False)).astype("<u8")
+    weight = rng.integers(1, 100, 20)
+    for _ in range(2000):
+        x = np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype("<u8")
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 60, rng.integers(0, 3)).astype("<u8")]))
+        both = len(np.intersect1d(x, y))
+        if both < 0.8 * (len(x) + len(y) - both) - 1e-9:
+            continue
+        a, b = (simhash.prefix(s, 0.8, heavy, weight).tolist() for s in (x, y))
+        rows = sorted((k, len(s), node, node, place, *simhash.parity(s).tolist()) for node, s, p in ((0, x, a), (1, y, b)) for place, k in enumerate(p))
+        assert set(a) & set(b)
+        assert any(len(u) for u, _ in simhash.run_pairs(np.array(rows, np.int64), 0.8))
