@@ -8,7 +8,8 @@ aligned once, whatever the number of lines that lead to it.
 
 The pair's line hashes are aligned by patience diff: lines that occur once in
 both anchor the alignment by a longest rising run, and the gaps between anchors
-are aligned the same way, after equal lines at their ends. Aligned common blocks
+are aligned the same way, after equal lines at their ends; a gap without such
+lines is anchored by the common lines that are repeated least. Aligned common blocks
 of at least `words` words are deleted from the later document; shorter ones,
 such as a line of one word, are no evidence of copying and stay.
 
@@ -37,6 +38,8 @@ from shardloom.llm.common import arrow_map, cut, raw
 WORDS = 8
 #: Documents of a line up to which all of them are paired.
 RARE = 4
+#: Pairs of repeated lines up to which a gap is aligned by all of them; beyond it the k-th of one document meets the k-th of the other.
+PAIRS = 1 << 20
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,6 +64,22 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def rarest(a: list[int], b: list[int], i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
+    """A longest rising run of the pairs of the common lines of a[i:m] and b[j:n] that make the fewest pairs each."""
+    here: dict[int, list[int]] = {}
+    for x in range(i, m):
+        here.setdefault(a[x], []).append(x)
+    there: dict[int, list[int]] = {}
+    for y in range(j, n):
+        if b[y] in here:
+            there.setdefault(b[y], []).append(y)
+    fewest = min((len(here[h]) * len(ys) for h, ys in there.items()), default=0)
+    few = [(here[h], ys) for h, ys in there.items() if len(here[h]) * len(ys) == fewest]
+    if fewest * len(few) > PAIRS:
+        return rising(sorted(pair for xs, ys in few for pair in zip(xs, ys, strict=False)))
+    return rising(sorted(((x, y) for xs, ys in few for x in xs for y in ys), key=lambda p: (p[0], -p[1])))
+
+
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Positions (in a, in b) of equal lines that patience diff aligns."""
     out: list[tuple[int, int]] = []
@@ -82,6 +101,8 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for y in range(j, n):
             there[b[y]] = -1 if b[y] in there else y
         anchors = rising([(x, there[h]) for h, x in here.items() if x >= 0 and there.get(h, -1) >= 0])
+        if not anchors:
+            anchors = rarest(a, b, i, m, j, n)
         if not anchors:
             continue
         for (x, y), (u, v) in zip([(i - 1, j - 1), *anchors], [*anchors, (m, n)], strict=True):

@@ -74,3 +74,11 @@ def test_odd_rows(spark):
     assert [x for x in got if x[0] != 5] == [(-1, "", 1, [[0, 1]]), (1, f"start\n{long}", 0, []), (1, f"start\n{long}", 0, []), (2, "end", 1, [[0, 1]]), (3, "", 0, []), (4, "", 0, []), (6, "end", 0, [])]
     assert next(x[2] for x in got if x[0] == 5) == 2  # one aligns with the end of 1, one with the start of 2
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_gaps_without_unique_lines():
+    p, later = [1, 2, 3], [10, 1, 2, 3, 11, 1, 2, 3, 12]
+    for a, b in ((later, [20, *p, 21]), ([20, *p, 21], later)):
+        assert [a[i] for i, _ in line_dedup.aligned(a, b)] == p
+        assert line_dedup.blocks(a, b, [5] * len(a), 15)
+    assert len(line_dedup.aligned([8, *[7, 9] * 2000, 8, 5], [4, *[9, 7] * 2000, 6])) >= 3000
