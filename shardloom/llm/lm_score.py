@@ -7,8 +7,9 @@ counts are scaled to the target's mass, so that neither model is favoured by
 its size. A document's score is the mean over its tokens of the target's loss
 less the background's: the lower, the more the document is like the target.
 
-Every text counts in full; only tables bounded by symbols**order reach the
-driver. Defined results: null or empty text has no tokens and null losses; a
+Every text counts, but a word equal to the word before it is one symbol, its
+other characters and the white space before it left out of n_tokens and of the
+losses. Only tables bounded by symbols**order reach the driver. Defined results: null or empty text has no tokens and null losses; a
 null identifier is kept; repeated rows count and come out as often as they come
 in; without target rows the target model is uniform; an empty table gives an
 empty table; other columns are ignored.
