@@ -82,23 +82,28 @@ def chat_formatting(spark, sf_dir):
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
   coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS size,
-  CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
-b AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY s),
+  CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT *, least(20, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END) AS k FROM d),
+b AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * k) AS BIGINT) AS digits FROM k GROUP BY s),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM b),
 o AS (SELECT *, sum(source_size) OVER () AS alls, sum(w) OVER () AS allw,
   coalesce(sum(source_size) OVER k, 0) AS sb, coalesce(sum(w) OVER k, 0) AS wb
   FROM w WINDOW k AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, CAST(alls - 3 * sb AS DOUBLE) / CAST(allw - wb AS DOUBLE) AS lev FROM o),
 v AS (SELECT min_by(lev, wb) AS level FROM l WHERE lev * w <= 3 * source_size AND source_size > 0),
-t AS (SELECT s, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(level * w, CAST(3 * source_size AS DOUBLE))) AS target FROM l, v),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-g AS (SELECT s, u, sum(size) AS words FROM d GROUP BY s, u),
-f AS (SELECT g.s, g.u, sum(words) OVER (PARTITION BY g.s ORDER BY g.u) - words / 2 > target - whole * source_size AS full_ FROM g JOIN p USING (s)),
-c AS (SELECT s, u, NOT bool_or(full_) OVER (PARTITION BY s ORDER BY u) AS more FROM f)
-SELECT doc_id, size, source_size, target,
-  CAST((whole + CASE WHEN more AND target > whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
-  CAST(whole + CASE WHEN more AND target > whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM d JOIN p USING (s) JOIN c USING (s, u)
+t AS (SELECT s, source_size, digits, least(CAST(3 * source_size AS DOUBLE), coalesce(level * w, CAST(3 * source_size AS DOUBLE))) AS target FROM l, v),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0.0::DOUBLE END AS p,
+  CASE WHEN source_size > 0 THEN digits::DOUBLE / source_size::DOUBLE ELSE 0.0::DOUBLE END AS mean FROM h),
+i AS (SELECT k.*, p.p + p.p * (1 - p.p) * 1.0::DOUBLE * (k.k - p.mean) / 20 AS pi FROM k JOIN p USING (s) WHERE p.p > 0),
+q AS (SELECT s, doc_id, size, (u / (1 - u)) / (pi / (1 - pi)) AS q FROM i),
+g AS (SELECT s, q, doc_id, size, sum(size) AS words FROM q GROUP BY ALL),
+f AS (SELECT g.*, sum(words) OVER (PARTITION BY s ORDER BY q, doc_id NULLS LAST, size) - words / 2 > target - whole * source_size AS full_ FROM g JOIN p USING (s)),
+c AS (SELECT s, doc_id, size, NOT bool_or(full_) OVER (PARTITION BY s ORDER BY q, doc_id NULLS LAST, size) AS more FROM f)
+SELECT d.doc_id, d.size, source_size, target,
+  CAST((whole + CASE WHEN more THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken,
+  CAST(whole + CASE WHEN more THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM d JOIN p USING (s) LEFT JOIN c ON c.s = d.s AND c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.size = d.size
 """
 
 PII_SQL = r"""

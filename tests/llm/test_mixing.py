@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import mixing
 
@@ -62,3 +63,31 @@ def test_odd_rows(spark):
     assert sum(r.taken for r in out) == 7
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mix_sizes(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """400 sources with the same sizes under different identifiers draw alike; how often each size is drawn follows its probability."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233]
+    rows = [(s * 100 + k, f"s{s:03d}", "w " * n) for s in range(400) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix_sizes(docs, weights=(3, 5)).collect()
+    whole = {r.doc_id // 100: int(r.target // r.source_size) for r in out}
+    words = sum(sizes)
+    mean = sum(n * n.bit_length() for n in sizes) / words
+    for odd, p in ((0, 0.75), (1, 0.25)):
+        own = [r for r in out if r.doc_id // 100 % 2 == odd]
+        want = [p + p * (1 - p) * (n.bit_length() - mean) / mixing.DOUBLINGS for n in sizes]
+        assert sum(w * n for w, n in zip(want, sizes, strict=True)) == pytest.approx(p * words)
+        for k, w in enumerate(want[:9]):
+            drawn = sum(r.copies - whole[r.doc_id // 100] for r in own if r.doc_id % 100 == k) / 200
+            assert abs(drawn - w) < 0.12, (p, k, drawn, w)
+        assert want[0] < want[4] < want[-1]
+
+
+def test_rank_is_random_odds_over_inclusion_odds(spark):
+    rows = spark.createDataFrame([(7, 0.25, 0.5, 3.0), (100, 0.9, 0.1, 2.0), (5, 0.5, 0.0, 1.0)], "size long, u double, p double, mean double")
+    got = [r[0] for r in rows.select(mixing.rank(F.col("size"), F.col("u"))).collect()]
+    assert got[0] == pytest.approx((0.25 / 0.75) / (0.5 / 0.5))
+    chance = 0.1 + 0.1 * 0.9 * (7 - 2) / 20
+    assert got[1] == pytest.approx((0.9 / 0.1) / (chance / (1 - chance)))
+    assert got[2] is None
