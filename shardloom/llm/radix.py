@@ -86,12 +86,13 @@ class RadixOwners:
             self._spill()
 
     def _spill(self) -> None:
-        node = self.root
+        node, above = self.root, [self.root]
         while node.kids and len(node.kids) == 1 and not node.count:
             below = next(iter(node.kids.values()))
             if below.file is not None:
                 return
             node = below
+            above.append(node)
         kids = [x for x in (node.kids or {}).values() if x.file is None]
         if not kids:
             return
@@ -109,6 +110,8 @@ class RadixOwners:
                 x.file.close()
             stack += [(y, prefix + y.edge) for y in (x.kids or {}).values()]
         worst.file, worst.kids, worst.count, worst.owner, worst.tag = file, None, 0, None, None
+        for x in above:
+            x.load -= worst.load
         self.held -= worst.load
         worst.load = 0
         self.spills += 1

@@ -25,6 +25,34 @@ def test_trie_against_a_table_with_and_without_spill():
         assert sorted((t, c, id_order(o)) for o, c, t in trie.rows()) == sorted((k, c, id_order(o)) for k, (o, c) in want.items())
 
 
+def in_memory(trie):
+    """Bytes of the strings and tags that the trie's nodes hold, counted again."""
+    total, stack = 0, [(trie.root, 0)]
+    while stack:
+        x, at = stack.pop()
+        total += at + len(x.tag) + 200 if x.count else 0
+        stack += [(y, at + len(y.edge)) for y in (x.kids or {}).values()]
+    return total
+
+
+def test_the_limit_holds_after_any_number_of_spills():
+    rng = random.Random(11)
+    stem = b"s" * 3000
+    keys = [stem + b"%05d" % rng.randrange(10**5) + bytes(rng.randrange(300)) for _ in range(4000)]
+    keys += [bytes([rng.randrange(256)]) + rng.randbytes(rng.randrange(600)) for _ in range(6000)] + keys[:1000]
+    for limit in (1 << 18, 1 << 20):
+        trie, most = RadixOwners(limit), 0
+        for i, k in enumerate(keys):
+            trie.insert(k, i, 1, k[:20])
+            most = max(most, trie.held)
+            if i % 500 == 0:
+                assert trie.held == trie.root.load == in_memory(trie)
+        assert trie.spills > 3
+        assert 0 <= most <= limit + 4000
+        assert trie.held == trie.root.load == in_memory(trie)
+        assert sum(c for _, c, _ in trie.rows()) == len(keys)
+
+
 def test_normal_space():
     import re
 
