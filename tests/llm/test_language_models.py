@@ -1,158 +1,262 @@
 """N-gram models against dictionaries, the classifier against held-out labels."""
 
 import math
-from collections import Counter, defaultdict
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shardloom.llm import charlm, lm_score, quality
+from shardloom.llm import grams, kneser_ney, lm_score, quality
 from shardloom.llm.queries import QUERIES
 
-TEXTS = ["the cat sat", "the cat sat on the the the mat", "a dog  ran\nran ran", "", "éa é\U0001f600 zz", "the dog sat on a cat"]
-
-
-def symbols_of(vocabulary, text):
-    """Symbols one by one: a word equal to the word before it is symbol 1, with the white space before it left out."""
-    known = {c: i + 2 for i, c in enumerate(vocabulary.characters)}
-    words, out, at = [], [], 0
-    while at < len(text):
-        blank = text[at] in " \t\n\v\f\r"
-        end = at
-        while end < len(text) and (text[end] in " \t\n\v\f\r") == blank:
-            end += 1
-        words.append((blank, text[at:end]))
-        at = end
-    last = None
-    for k, (blank, part) in enumerate(words):
-        if not blank and part == last:
-            out.append(1)
-        elif not (blank and last is not None and k + 1 < len(words) and words[k + 1][1] == last):
-            out += [known.get(c, 0) for c in part]
-        last = last if blank else part
-    return out
+TEXTS = ["the cat sat", "the cat sat on the the the mat", "a dog  ran\nran ran", "", "éa é\U0001f600 zz", "the dog sat on a cat", " \t", "日本語の文 mixed 中文", "aa aa aaa", "x" * 3000 + " y"]
+SPACE = "\x20\t\n\x0b\x0c\r"
 
 
-def grams_of(vocabulary, text, order):
-    s = [0] * (order - 1) + symbols_of(vocabulary, text)
-    return [tuple(s[i : i + order]) for i in range(len(s) - order + 1)]
+def symbols_of(text, order):
+    out, last = [], None
+    for word in re.findall(f"[^{SPACE}]+", text):
+        out += [grams.AGAIN if word == last else 32, *map(ord, word)]
+        last = word
+    return [grams.PAD] * (order - 1) + out + [grams.END]
 
 
-@pytest.fixture(scope="module")
-def vocabulary():
-    return charlm.Vocabulary(list(" eath"), 7)
-
-
-@pytest.mark.parametrize("order", [2, 3])
-def test_grams(vocabulary, order):
-    for text in [*TEXTS, "a a", " a a ", "aa aa aaa", "x　x x", "b b\n b b"]:
-        want = [sum(x * 7 ** (order - 1 - i) for i, x in enumerate(g)) for g in grams_of(vocabulary, text, order)]
-        assert vocabulary.grams(text, order).tolist() == want, text
-
-
-def kneser_ney(grams, v, order):
-    """P by recursion over dictionaries."""
-    counts = Counter(grams)
-    levels = {order: counts}
-    for k in range(order - 1, 0, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-    discounts = {}
-    for k, level in levels.items():
-        n = Counter(level.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        discounts[k] = {j: min(max(j - (j + 1) * y * n[j + 1] / n[j] if n[j] else 0.5 * j, 0.05), j - 0.05) for j in (1, 2, 3)}
-
-    def p(gram):
+def words_of(text):
+    single = "".join(f"{chr(a)}-{chr(b)}" for a, b in grams.UNSPACED)
+    return re.findall(f"[{single}]|[^{SPACE}{single}]+", text)
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_symbols(order):
+    run, sizes = grams.symbols(TEXTS, order)
+    want = [symbols_of(t, order) for t in TEXTS]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert run.tolist() == [s for w in want for s in w]
+    assert grams.symbols(["", ""], 2)[0].tolist() == [grams.PAD, grams.END] * 2
+
+
+def test_words():
+    words = grams.Words(*grams.code_points(TEXTS), single=True)
+    want = [(i, w) for i, t in enumerate(TEXTS) for w in words_of(t)]
+    assert words.texts.tolist() == [i for i, _ in want]
+    by = {}
+    for h, (_, w) in zip(words.hashes.tolist(), want, strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def test_words_pattern_is_sparks(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i long, t string")
+    got = dict(df.select("i", F.regexp_count("t", F.lit(grams.WORDS_PATTERN))).collect())
+    assert got == {i: len(words_of(t)) for i, t in enumerate(TEXTS)}
+
+
+def test_table_finds_all_but_what_is_left_over():
+    keys = np.unique(np.random.default_rng(1).integers(1, 2**63, 700, np.uint64))
+    table = grams.Table(keys, np.arange(len(keys)) + 1.0, 10)
+    assert 0 < len(table.left_over) < 150
+    found, missing = table.find(np.concatenate([keys, keys + np.uint64(1)]))
+    left = set(table.left_over.tolist())
+    assert [int(x) for x in found[: len(keys)]] == [0 if i in left else i + 1 for i in range(len(keys))]
+    assert set(missing.tolist()) == left | set(range(len(keys), 2 * len(keys)))
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney by recursion over dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        runs = [symbols_of(t, order) for t in texts]
+        top = Counter(tuple(s[i - order + 1 : i + 1]) for s in runs for i in range(order - 1, len(s)))
+        self.levels = {order: top}
+        for k in range(order - 1, 0, -1):
+            self.levels[k] = Counter(g[1:] for g in {x[order - k - 1 :] for x in top})
+        self.d, self.totals, self.cuts = {}, {}, {}
+        for k, level in self.levels.items():
+            n = Counter(level.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+            self.d[k] = {j: min(max(j - (j + 1) * y * n[j + 1] / n[j] if n[j] else 0.5 * j, 0.05), j - 0.05) for j in (1, 2, 3)}
+            self.totals[k], self.cuts[k] = Counter(), Counter()
+            for g, c in level.items():
+                self.totals[k][g[:-1]] += c
+                self.cuts[k][g[:-1]] += self.d[k][min(c, 3)]
+
+    def p(self, gram):
         k = len(gram)
         if not k:
-            return 1 / v
-        level, d = levels[k], discounts[k]
-        seen = {g: c for g, c in level.items() if g[:-1] == gram[:-1]}
-        total = sum(seen.values())
+            return 1 / kneser_ney.UNIFORM
+        total = self.totals[k][gram[:-1]]
         if not total:
-            return p(gram[1:])
-        c = level.get(gram, 0)
-        cut = lambda n: d[min(n, 3)] if n else 0
-        return (c - cut(c) + sum(map(cut, seen.values())) * p(gram[1:])) / total
-
-    return p
-
-
-def test_kneser_ney(vocabulary):
-    grams = [g for t in TEXTS for g in grams_of(vocabulary, t, 3)]
-    dense = np.zeros(7**3)
-    for a, b, c in grams:
-        dense[a * 49 + b * 7 + c] += 1
-    table = charlm.kneser_ney(dense, 7)
-    assert np.exp(table.reshape(-1, 7)).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    p = kneser_ney(grams, 7, 3)
-    for a in range(7):
-        for b in range(7):
-            for c in range(7):
-                assert table[a * 49 + b * 7 + c] == pytest.approx(math.log(p((a, b, c))), abs=1e-4)
-
-
-def test_scores_against_dictionaries(spark):
-    rows = [(i, t) for i, t in enumerate(TEXTS * 2)] + [(None, None), (3, "the cat")]
-    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, n_tokens string, score double")
-    target = spark.createDataFrame([(1,), (1,), (5,), (None,)], "doc_id long")
-    v, order = 12, 3
-    letters = Counter(c for _, t in rows for c in t or "")
-    vocabulary = charlm.Vocabulary([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: v - 2] if ord(c) < charlm.PLANE - 1], v)
-    every = [g for _, t in rows for g in grams_of(vocabulary, t or "", order)]
-    near = [g for i, t in rows if i in (1, 5) for g in grams_of(vocabulary, t or "", order)]
-
-    def model(grams, scale):
-        sums = [Counter() for _ in range(order + 1)]
-        for g in grams:
-            for k in range(order + 1):
-                sums[k][g[order - k :]] += scale
-        totals = [defaultdict(float) for _ in range(order + 1)]
-        for k in range(1, order + 1):
-            for g, c in sums[k].items():
-                totals[k][g[:-1]] += c
-
-        def p(g):
-            return (sums[len(g)][g] + 8 * p(g[1:])) / (totals[len(g)][g[:-1]] + 8) if g else 1 / v
-
-        return p
-
-    a, b = model(near, 1.0), model(every, len(near) / len(every))
-    got = sorted(lm_score.lm_scores(docs, target, symbols=v, order=order).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
-    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, len(grams_of(vocabulary, r[1] or "", order))))
-    assert len(got) == len(rows)
-    for r, (i, t) in zip(got, want, strict=True):
-        grams = grams_of(vocabulary, t or "", order)
-        assert (r.doc_id, r.n_tokens) == (i, len(grams))
-        if grams:
-            near_loss, far_loss = (-sum(math.log(p(g)) for g in grams) / len(grams) for p in (a, b))
-            assert r.target_loss == pytest.approx(near_loss, abs=1e-5)
-            assert r.background_loss == pytest.approx(far_loss, abs=1e-5)
-            assert r.score == pytest.approx(near_loss - far_loss, abs=2e-5)
-        else:
-            assert r.score is None
-    assert lm_score.lm_scores(docs.limit(0), target, symbols=v, order=order).count() == 0
+            return self.p(gram[1:])
+        c = self.levels[k][gram]
+        return (c - (self.d[k][min(c, 3)] if c else 0) + self.cuts[k][gram[:-1]] * self.p(gram[1:])) / total
+
+    def loss(self, text):
+        s = symbols_of(text, self.order)
+        at = range(self.order - 1, len(s))
+        return -sum(math.log(self.p(tuple(s[i - self.order + 1 : i + 1]))) for i in at) / len(at)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Documents of three languages, the third one too small for a model of its own, and labels."""
+    rng = random.Random(8)
+    stock = {"aa": ["tree", "stone", "river", "é", "a"], "bb": ["木", "石の", "川", "水"], "cc": ["x", "yz"]}
+    rows = []
+    for i in range(420):
+        lang = "aa" if i % 3 else "bb"
+        lang = None if i % 60 == 1 else "cc" if i % 60 == 2 else lang
+        rows.append((i, " ".join(rng.choice(stock[lang or "cc"]) for _ in range(rng.randrange(1, 25))), lang, 1.0, "k"))
+    odd = [(1000, "", "aa", 0.5, "k"), (1001, None, "bb", 0.5, None), (None, "tree stone", "aa", 0.5, "k"), (1002, "QQ## QQ##", "aa", 1.5, "k"), (1002, "QQ## QQ##", "aa", 1.5, "k"), (1003, "tree " * 40_000, "aa", 2.5, "k"), (1004, "木" * 60_000, "bb", 2.5, "k"), (1005, "zz", "dd", 2.5, "k")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, n_tokens double, kept string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(420)] + [(None, 1), (5, 1), (9, None)], "doc_id long, quality int")
+    return docs, labels
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 19])
+def test_classifier_against_dictionaries(spark, labelled, head):
+    """The same losses whether all, some or none of the grams are joined by shards; thresholds are the quantiles of the halves not trained on."""
+    docs, labels = labelled
+    order, fewest = 3, 20
+    model = quality.fit(docs, labels, order=order, fewest=fewest, quantile=0.9, head=head)
+    assert (model.tail is None or head < 1 << 19) and model.groups == ["aa", "bb"]
+    sample = quality._sample(docs, labels, quality.TRUSTED).collect()
+    assert len({r.doc_id for r in sample}) == len(sample) == sum(1 for i in range(420) if i % 7 != 0)
+    of = lambda lang: lang if lang in ("aa", "bb") else ""
+    plain = {g: Plain([r.text for r in sample if of(r.lang) == g and r.held == 0], order) for g in ("aa", "bb", "")}
+    limits = {}
+    for g in plain:
+        held = [plain[g].loss(r.text) for r in sample if of(r.lang) == g and r.held == 1]
+        if len(held) >= fewest:
+            limits[g] = float(np.quantile(held, 0.9))
+    assert set(limits) == {"aa", "bb"}
+    got = quality.judged(docs, model, ["doc_id", "text", "lang", "n_tokens", "kept"]).toPandas()
+    assert len(got) == docs.count()
+    columns = ["doc_id", "text", "lang", "own", "flag", "n", "perplexity", "threshold", "stays"]
+    for r in got.set_axis(columns, axis=1).itertuples():
+        text, g = r.text or "", of(r.lang)
+        if not text.split():
+            assert (r.n, r.stays) == (0, True) and math.isnan(r.perplexity)
+            continue
+        assert r.n == len(symbols_of(text, order)) - order + 1
+        assert math.log(r.perplexity) == pytest.approx(plain[g].loss(text), abs=1e-6)
+        assert (math.log(r.threshold) == pytest.approx(limits[g], abs=1e-6)) if g in limits else math.isnan(r.threshold)
+        assert r.stays == (g not in limits or plain[g].loss(text) <= limits[g] + 1e-9)
+    rejected = got.set_axis(columns, axis=1).query("not stays")
+    assert 1002 in set(rejected.doc_id) and 1005 not in set(rejected.doc_id)
+    kept = quality.kept_rows(docs, model)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert kept.count() == len(got) - len(rejected)
+
+
+def test_classifier_on_odd_tables(spark, labelled):
+    docs, labels = labelled
+    none = quality.fit(docs, labels.limit(0))
+    assert all(r.kept for r in quality.judged(docs, none, ["doc_id"]).collect())
+    assert quality.judged(docs.limit(0), none, ["doc_id"]).count() == 0
+    model = quality.fit(docs.limit(0), labels)
+    assert quality.kept_rows(docs, model).count() == docs.count()
+    few = quality._sample(docs, labels, 30).collect()
+    assert len(few) == 30 and Counter(r.lang for r in few)["cc"] >= 5
 
 
 def test_classifier_on_labels_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.fit(docs, labels, most=1000)
+    model = quality.fit(docs, labels, most=2000)
+    used = {r.doc_id for r in quality._sample(docs, labels, 2000).select("doc_id").collect()}
     rows = quality.judged(docs, model, ["doc_id"]).join(labels.dropDuplicates(["doc_id"]), "doc_id").collect()
+    rows = [r for r in rows if r.doc_id not in used]
     good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
-    assert sum(good) / len(good) > 0.985
-    assert sum(bad) / len(bad) < 0.03
+    assert len(good) > 1000 and sum(good) / len(good) > 0.98
+    assert sum(bad) / len(bad) < 0.05
+
+
+def scores_of(rows, target):
+    """Cross-entropy differences with dictionaries; each document's own counts are taken off."""
+    texts = [(i, words_of(t or "")) for i, t in rows]
+    full = [(i, w) for i, w in texts if w]
+    grams_of = lambda w: Counter(w) + Counter(zip([None, *w], w, strict=False))
+    every, near = Counter(), Counter()
+    n = {"all": 0, "near": 0, "texts": len(full), "near texts": 0}
+    for i, w in full:
+        every += grams_of(w)
+        n["all"] += len(w)
+        if i in target:
+            near += grams_of(w)
+            n["near"] += len(w)
+            n["near texts"] += 1
+    scale = n["near"] / n["all"] if n["near"] else 1
+    out = []
+    for i, w in texts:
+        own, mine = grams_of(w), i in target
+
+        def loss(counts, words, begins, share, factor, w=w, own=own):
+            total = 0
+            for v, x in zip([None, *w], w, strict=False):
+                low = (factor * (counts[x] - share * own[x]) + lm_score.WORD_MASS / lm_score.UNIFORM) / (factor * (words - share * len(w)) + lm_score.WORD_MASS)
+                context = begins - share if v is None else counts[v] - share * own[v]
+                total -= math.log((factor * (counts[v, x] - share * own[v, x]) + lm_score.PAIR_MASS * low) / (factor * context + lm_score.PAIR_MASS))
+            return total / len(w)
+
+        out.append((i, len(w), *((loss(near, n["near"], n["near texts"], int(mine), 1), loss(every, n["all"], n["texts"], 1, scale)) if w else (None, None))))
+    return out
 
 
-def test_query_and_odd_rows(spark):
+@pytest.mark.parametrize("split_bytes", [1 << 23, 300])
+def test_scores_against_dictionaries(spark, split_bytes):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(TEXTS * 2)] + [(None, None), (None, "the cat"), (3, "the cat")]
+    rows += [(100 + i, " ".join(rng.choice(["the", "cat", "語", "中", "on", "a", "é"]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, n_tokens string, split double")
+    marks = [1, 1, 5, 7, 105, 110, 120, None]
+    target = spark.createDataFrame([(x,) for x in marks], "doc_id long")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted((tuple(r) for r in lm_score.lm_scores(docs, target, split_bytes=split_bytes).collect()), key=order)
+    want = sorted(scores_of(rows, {x for x in marks if x is not None}), key=order)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for (_, n, near, far, score), (_, _, a, b) in zip(got, want, strict=True):
+        assert (near, far, score) == ((None, None, None) if not n else pytest.approx((a, b, a - b), abs=1e-9))
+    assert lm_score.lm_scores(docs.limit(0), target).count() == 0
+    assert all(r.score == pytest.approx(r.target_loss - r.background_loss) for r in lm_score.lm_scores(docs, target.limit(0)).filter("n_tokens > 0").collect())
+
+
+def test_scores_tell_scripts_apart(spark):
+    """Texts of one script, once in the target and once not, beside documents of another script."""
+    rows = [(i, "今日は天気がいい") for i in range(6)] + [(10 + i, "我们明天去北京") for i in range(6)] + [(20 + i, "오늘 날씨가 좋다") for i in range(6)] + [(30 + i, "it rains a lot") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(docs, spark.createDataFrame([(i,) for i in range(6)], "doc_id long")).collect()}
+    assert max(got[i] for i in range(6)) < min(v for k, v in got.items() if k >= 6) - 1
+    assert len({round(got[i], 6) for i in (10, 20, 30)}) == 3
+
+
+def test_query_against_dictionaries(spark):
     sf = "/root/testdata/sf0.001"
-    assert QUERIES["op6_quality"](spark, sf).count() == QUERIES["op1_lm_scoring"](spark, sf).count() == 200
-    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 1), (3, None), (4, 0)], "doc_id long, quality int")
-    rows = [(1, "good words here", "en", 1.0), (2, "more good words", None, 2.0), (None, None, "en", 3.0), (4, "", "xx", 4.0), (5, "@@@@ #### ~~~~ |||| ^^^^" * 50, "en", 5.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens double")
-    model = quality.fit(docs, labels)
-    got = quality.judged(docs, model, docs.columns[:3]).collect()
-    assert len(got) == 5 and all(r.perplexity > 0 and r.threshold > 0 for r in got)
-    none = quality.fit(docs, labels.limit(0))
-    assert all(r.kept for r in quality.judged(docs, none, ["doc_id"]).collect())
-    assert quality.judged(docs.limit(0), model, ["doc_id"]).count() == 0
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    target = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0").collect()}
+    want = {r[0]: r[1:] for r in scores_of(rows, target)}
+    got = QUERIES["op1_lm_scoring"](spark, sf).collect()
+    assert len(got) == len(want) == 200
+    for r in got:
+        n, a, b = want[r.doc_id]
+        assert r.n_tokens == n and (r.score is None if not n else r.score == pytest.approx(a - b, abs=1e-8))
+
+
+def test_quality_query_against_dictionaries(spark):
+    """The registered query with its own parameters, document by document."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sample = quality._sample(docs, labels, quality.TRUSTED).collect()
+    plain = Plain([r.text for r in sample if r.held == 0], quality.ORDER)  # too few of each language: one group
+    held = [plain.loss(r.text) for r in sample if r.held == 1]
+    limit = float(np.quantile(held, quality.QUANTILE)) if len(held) >= quality.FEWEST else None
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = QUERIES["op6_quality"](spark, sf).collect()
+    assert len(got) == len(texts) == 200
+    for r in got:
+        loss = plain.loss(texts[r.doc_id])
+        assert math.log(r.perplexity) == pytest.approx(loss, abs=1e-6)
+        assert r.kept == (limit is None or loss <= limit)
