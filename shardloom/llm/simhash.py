@@ -35,8 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.llm.bloom import bloom_filter, may_hold
 from shardloom.llm.common import arrow_map, cut, raw
 from shardloom.llm.components import components
+from shardloom.llm.grams import mixed
 
 #: Classes of one signature that a task compares; beyond it blocks of this size are compared in pairs.
 BUCKET = 1 << 14
@@ -47,14 +49,6 @@ ROW_COST, PAIR_COST = 1.0, 0.003
 STAND_IN = 1 << 62
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def document_bits(text: bytes, shingle: int, words: int = 1) -> list[int]:
     """The fingerprint words of a text: bit set if set in over half the shingle hashes."""
     tokens = text.lower().split()
@@ -70,7 +64,7 @@ def document_bits(text: bytes, shingle: int, words: int = 1) -> list[int]:
     h = np.array([digest(x, 42) for x in grams], dtype="<u8")
     out = []
     for k in range(words):
-        own = h if not k else _mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        own = h if not k else mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
         counts = np.zeros(64, np.int64)
         rows = own.view(np.uint8).reshape(-1, 8)
         for i in range(0, len(rows), 255):
@@ -177,7 +171,7 @@ def signatures(w: np.ndarray, plan: list[tuple[list[int], int]]) -> np.ndarray:
         value = w & np.uint64(sum(1 << b for b in bits))
 
         def key(x, tag, part=part):
-            return _mixed(x ^ _mixed(np.uint64((part + 1) * 1_000_003 + tag).reshape(1)))
+            return mixed(x ^ mixed(np.uint64((part + 1) * 1_000_003 + tag).reshape(1)))
 
         if t in (0, 2, 4):
             columns.append(key(value, 0))
@@ -350,23 +344,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 # Similarity of shingle sets: SimHash finds most links, prefixes find the rest, sets verify.
 
-#: Bits in which the two words of a pair with 80 of 100 shingles in common may differ: 9.7 are expected, 14 and 18 leave 1.5 and 2.9 deviations.
-DISTANCE, FURTHER = 14, 18
-#: Classes whose shingle sets a task holds; larger coarse groups are verified as pairs of blocks.
-SETS = 1 << 12
+#: Bits in which the two fingerprint words of coarsely linked sets may differ; near copies do in fewer, prefixes find all other pairs.
+DISTANCE, FURTHER = 6, 10
+#: Classes of a coarse group that stand in one block; larger groups are verified as pairs of blocks.
+SETS = 1 << 9
 #: Prefixes that hold a shingle from which on it comes after rarer ones, and such shingles that are told apart at most (16 MB).
 HEAVY, MOST_HEAVY = 32, 1 << 20
 #: Words of parity bits by which candidates of prefixes are sifted; a power of two.
 PARITY = 4
-#: Bits of the filter of coarsely linked classes, at most (8 MB), and bits for each.
-FILTER_BITS, BITS_EACH = 1 << 26, 16
 
 
-def shingle_set(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
-    """(sorted distinct 32-bit shingle hashes, two fingerprint words of the set)."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(0, "<u4"), [0, 0]
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     if len(tokens) <= shingle:
         grams = {joined}
@@ -374,21 +366,48 @@ def shingle_set(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
         at = [0, *accumulate(len(x) + 1 for x in tokens)]
         grams = {joined[a : b - 1] for a, b in zip(at, at[shingle:], strict=False)}
     digest = xxhash.xxh64_intdigest
-    short = np.unique(np.array([digest(x, 42) & 0xFFFFFFFF for x in grams], dtype="<u4"))
+    return np.unique(np.array([digest(x, 42) for x in grams], dtype="<u8"))
+
+
+def set_words(hashes: np.ndarray) -> list[int]:
+    """Two fingerprint words of a set of shingle hashes."""
     out = []
     for k in (1, 2):
-        own = _mixed(short.astype("<u8") + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        own = mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
         counts = np.zeros(64, np.int64)
         rows = own.astype("<u8").view(np.uint8).reshape(-1, 8)
         for i in range(0, len(rows), 255):
             counts += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-        out.append(int.from_bytes(np.packbits(2 * counts > len(short), bitorder="little").tobytes(), "little"))
-    return short, out
+        out.append(int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def set_digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingle hashes, as two signed numbers: sets are the same if these are."""
+    whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (whole & (2**64 - 1)) - (1 << 63), (whole >> 64) - (1 << 63)
 
 
-def set_node(hashes: np.ndarray) -> int:
-    """A class's number: the hash of its set."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+class Nodes:
+    """Numbers of sets: the first half of the digest, but another number for sets that share it with a set of another second half."""
+
+    def __init__(self, renamed: dict[tuple[int, int], int]):
+        self.renamed = renamed
+
+    def of(self, hashes: np.ndarray) -> int:
+        node, twin = set_digest(hashes)
+        return self.renamed.get((node, twin), node) if self.renamed else node
+
+
+def told_apart(marks: DataFrame) -> tuple[DataFrame, Nodes]:
+    """marks (node, twin, others) with a number of its own for each digest, and the numbers; half digests of 64 bits clash so seldom that the list of clashes is short."""
+    clash = cut(marks.groupBy("node").agg(F.min("twin").alias("least"), F.max("twin").alias("most")).filter("least != most").select("node"))
+    if clash.isEmpty():
+        return marks.drop("twin"), Nodes({})
+    number = F.xxhash64("node", "twin")
+    both = marks.join(F.broadcast(clash), "node", "left_semi").select("node", "twin", number.alias("number")).distinct().collect()
+    hit = F.col("node").isin([r["node"] for r in clash.collect()])
+    return marks.withColumn("node", F.when(hit, number).otherwise(F.col("node"))).drop("twin"), Nodes({(r["node"], r["twin"]): r["number"] for r in both})
 
 
 def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -398,7 +417,7 @@ def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> lis
     counting marked hashes; two empty sets are alike.
     """
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets) if sizes.sum() else np.zeros(0, np.uint32), return_inverse=True)
+    _, ids = np.unique(np.concatenate(sets) if sizes.sum() else np.zeros(0, np.uint64), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(sets)), sizes)
     marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
@@ -427,21 +446,6 @@ def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> lis
     return out
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; their low halves are the hashes of shingle_set."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(tokens)
-    if len(tokens) <= shingle:
-        grams = {joined}
-    else:
-        at = [0, *accumulate(len(x) + 1 for x in tokens)]
-        grams = {joined[a : b - 1] for a, b in zip(at, at[shingle:], strict=False)}
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x, 42) for x in grams], dtype="<u8"))
-
-
 def prefix(hashes: np.ndarray, least: float, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The first hashes of a set in a fixed order, as many as it takes that any set of similarity least or more shares one of its own.
 
@@ -461,7 +465,7 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
     Words of two sets differ in at most as many bits as the sets in elements.
     """
-    odd = np.bincount((_mixed(hashes.astype("<u8")) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    odd = np.bincount((mixed(hashes.astype("<u8")) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -506,7 +510,7 @@ def runs(batches):
         yield np.concatenate(held)
 
 
-def missed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float, heavy_from: int = HEAVY) -> DataFrame:
+def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: int, least: float, heavy_from: int = HEAVY) -> DataFrame:
     """a, b: candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
 
     slim: body; groups: node, component of all classes, by what is linked already, and their parity words.
@@ -523,7 +527,7 @@ def missed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float,
                 if len(hashes):
                     own = prefix(hashes, least, heavy, weight)
                     keys.append(own)
-                    nodes.append(np.full(len(own), set_node(np.unique(hashes.astype("<u4")))))
+                    nodes.append(np.full(len(own), numbers.of(hashes)))
                     sizes.append(np.full(len(own), len(hashes)))
                     places.append(np.arange(len(own)))
             if keys:
@@ -560,28 +564,6 @@ def missed_links(slim: DataFrame, groups: DataFrame, shingle: int, least: float,
     return cut(named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(pairs, "a long, b long").distinct())
 
 
-def _filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    k = keys.astype(np.int64).view(np.uint64)
-    a, b = _mixed(k), _mixed(k ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(4)], axis=1).astype(np.int64)
-
-
-def _filter(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    """Bytes of a bloom filter over a column of longs, and its bits; at most FILTER_BITS, whatever the number of nodes."""
-    n = nodes.count()
-    bits = min(FILTER_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
-
-    def over(batch):
-        at = np.unique(_filter_positions(batch.column(0).to_numpy(), bits).ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at // 8), pa.array(1 << (at % 8))], names=["byte", "mask"])
-
-    found = arrow_map(nodes, over, "byte long, mask long", 10_000).groupBy("byte").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filled = np.zeros(bits // 8, np.uint8)
-    filled[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
-    return filled, bits
-
-
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS) -> DataFrame:
     """doc_id, body_hash (xxhash64 of the text), component_id, kept of every row.
 
@@ -596,29 +578,30 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     odd = [f"p{k}" for k in range(PARITY)]
 
     def marks(batch):
-        made = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
-        bits = np.array([m[1] for m in made], dtype=np.uint64).view(np.int64)
-        sifts = np.array([parity(m[0]) for m in made], dtype=np.int64).reshape(-1, PARITY)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_node(m[0]) for m in made], pa.int64()), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), *(pa.array(np.ascontiguousarray(sifts[:, k])) for k in range(PARITY))], names=["doc_id", "body_hash", "node", "w0", "w1", *odd])
-
-    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, w0 long, w1 long, " + ", ".join(f"{x} long" for x in odd)))
+        made = [shingle_hashes(x, shingle) for x in batch.column(1).to_pylist()]
+        bits = np.array([set_words(m) for m in made], dtype=np.uint64).view(np.int64)
+        ids = np.array([set_digest(m) for m in made], dtype=np.int64)
+        sifts = np.array([parity(m) for m in made], dtype=np.int64).reshape(-1, PARITY)
+        columns = [ids[:, 0], ids[:, 1], bits[:, 0], bits[:, 1], *sifts.T]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "body_hash", "node", "twin", "w0", "w1", *odd])
+
+    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, twin long, w0 long, w1 long, " + ", ".join(f"{x} long" for x in odd)))
+    docs, numbers = told_apart(docs)
     classes = cut(docs.select("node", "w0", "w1", *odd).dropDuplicates(["node"]))
     coarse = components(links(classes, 2, distance, further, bucket))
     coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
 
     def held_sets(nodes):
         """node, hashes of the classes in nodes, and of a few more."""
-        filled, bits = _filter(nodes)
-        shared = df.sparkSession.sparkContext.broadcast(filled)
+        shared = df.sparkSession.sparkContext.broadcast(bloom_filter(nodes))
 
         def sets(batch):
             found = {}
             for body in batch.column(0).to_pylist():
-                hashes = shingle_set(body, shingle)[0]
-                found[set_node(hashes)] = hashes
+                hashes = shingle_hashes(body, shingle)
+                found[numbers.of(hashes)] = hashes
             nodes = np.array(list(found), np.int64)
-            at = _filter_positions(nodes, bits)
-            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+            hit = may_hold(shared.value, nodes)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([found[x].tobytes() for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
 
         return arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
@@ -646,13 +629,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield from found()
                     key, node, own = (group, block), [], []
                 node.append(n)
-                own.append(np.frombuffer(hashes, "<u4"))
+                own.append(np.frombuffer(hashes, "<u8"))
         yield from found()
 
     parts = components(dealt.mapInArrow(verify, "a long, b long"))
     parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     groups = classes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *odd)
-    more = missed_links(slim, groups, shingle, similarity)
+    more = missed_links(slim, groups, numbers, shingle, similarity)
     if not more.isEmpty():
         kept_sets = cut(held_sets(more.select(F.col("a").alias("node")).union(more.select("b")).distinct()))
         left = kept_sets.select(F.col("node").alias("a"), F.col("hashes").alias("mine"))
@@ -661,7 +644,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def judge(batch):
             ok = []
             for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(mine, "<u4"), np.frombuffer(theirs, "<u4")
+                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], names=["a", "b"])
