@@ -5,18 +5,21 @@ backslash becomes \\b and < becomes \\l, so no text holds a control string and
 reading back is exact; in roles > becomes \\g too. A turn that was given in an
 earlier window is written with <again:ROLE>.
 
-Windows follow from prefix sums of turn tokens. With room = budget less the
-system turn and the history, turns fall into bins of room tokens by where they
-start; a turn that reaches over its bin's end is a window of its own, the
-others of a bin are one. So a window's new turns hold at most room tokens
-unless a single turn is longer, and no turn is cut. Every window begins with
-the conversation's system turn (its first turn, if its role is system) and
-repeats up to HISTORY_TURNS turns before it that hold up to the history's
-tokens. The loss mask covers the texts of assistant turns where they are new:
-repeated targets are masked, so each is learned once.
-
-Tokens are counted as words (an upper bound is the caller's to choose through
-the budget). Defined results: null text is empty, null role is the empty role;
+A turn's tokens are its words and MARKS for the marks around it. Windows follow
+from prefix sums of turn tokens. With room = budget less the system turn and the
+history, turns fall into bins of room tokens by where they start; a turn that
+reaches over its bin's end is a window of its own, the others of a bin are one.
+So a window's new turns hold at most room tokens unless a single turn is longer,
+and no turn is cut. Every window begins with the conversation's system turn (its
+first turn, if its role is system) and repeats up to HISTORY_TURNS turns before
+it that hold up to the history's tokens; beside a turn that is longer than the
+room, only as many as the budget still has room for. The loss mask covers the
+texts of assistant turns where they are new: repeated targets are masked, so
+each is learned once.
+
+A window holds at most budget tokens unless its system turn and one new turn are
+more by themselves: such a window has these two only, and `excess` says by how
+many tokens it is over; it is 0 in all others. Defined results: null text is empty, null role is the empty role;
 turns are ordered by (turn, role, text), nulls first; rows that repeat a turn
 are turns of their own; a null conversation is one conversation; an empty table
 gives an empty table; other columns are ignored.
@@ -29,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shardloom.llm.common import WORD, cut
 
 BUDGET, HISTORY, HISTORY_TURNS = 512, 128, 4
+#: Tokens that the marks around a turn count as.
+MARKS = 2
 END = "</turn>\n"
 
 
@@ -50,14 +55,14 @@ def unescaped_role(role: Column) -> Column:
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """conv_id, window (from 0, in order), formatted, loss (array of (start, end) code points), n_tokens of every window.
+    """conv_id, window (from 0, in order), formatted, loss (array of (start, end) code points), n_tokens, excess of every window.
 
     Rows meet by conversation in window functions, which stream, and by window
     in the last aggregation; a conversation's texts stand together nowhere.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + MARKS)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -76,9 +81,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     opens = (F.col("place") > earlier) | (F.col("nth") == 1)
     rows = rows.withColumn("window", F.sum(F.when(opens, 1).otherwise(0)).over(first) - 1)
     # a turn is repeated in those of the windows opened by the next turns whose history reaches back to it
-    nexts = [F.struct(F.lead("window", k).over(order).alias("window"), F.lead("start", k).over(order).alias("start")) for k in range(1, history_turns + 1)]
-    rows = cut(rows.withColumn("nexts", F.when(F.col("lead"), F.array().cast("array<struct<window:bigint,start:bigint>>")).otherwise(F.array(*nexts).cast("array<struct<window:bigint,start:bigint>>"))))
-    opened = lambda x, i: (x["window"] > F.when(i == 0, F.col("window")).otherwise(F.element_at("nexts", F.greatest(i, F.lit(1)))["window"])) & (x["start"] - F.col("start") <= history)
+    nexts = [F.struct(F.lead("window", k).over(order).alias("window"), F.lead("start", k).over(order).alias("start"), F.lead("tokens", k).over(order).alias("tokens")) for k in range(1, history_turns + 1)]
+    kind = "array<struct<window:bigint,start:bigint,tokens:bigint>>"
+    rows = cut(rows.withColumn("nexts", F.when(F.col("lead"), F.array().cast(kind)).otherwise(F.array(*nexts).cast(kind))))
+    spare = lambda x: F.least(F.lit(history), F.greatest(F.lit(0), budget - F.greatest("system", F.lit(0)) - x["tokens"]))
+    opened = lambda x, i: (x["window"] > F.when(i == 0, F.col("window")).otherwise(F.element_at("nexts", F.greatest(i, F.lit(1)))["window"])) & (x["start"] - F.col("start") <= spare(x))
     repeats = F.transform(F.filter(F.filter("nexts", opened), lambda x: x["window"].isNotNull()), lambda x: x["window"])
     columns = ["conv_id", "nth", "role", "text", "tokens"]
     given = rows.select(*columns, F.explode(F.concat(F.array("window"), repeats)).alias("at"), "window").select(*columns, F.col("at").alias("window"), (F.col("at") != F.col("window")).alias("again"))
@@ -103,7 +110,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     loss = F.aggregate("p", F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
     formatted = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    return grouped.select("conv_id", "window", formatted.alias("formatted"), loss.alias("loss"), n.alias("n_tokens"))
+    return grouped.select("conv_id", "window", formatted.alias("formatted"), loss.alias("loss"), n.alias("n_tokens"), F.greatest(F.lit(0), n - budget).alias("excess"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -139,7 +139,7 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 CHAT_SQL = r"""
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-b AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+b AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS tokens,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM a),
 c AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) AS BIGINT) - tokens AS pos,
   coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), -1) AS system FROM b),
@@ -150,7 +150,7 @@ f AS (SELECT *, CASE WHEN nth = 1 OR place > lag(place) OVER (PARTITION BY conv_
 g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY nth) - 1 AS win,
   length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) + 8 AS chars FROM f),
 h AS (SELECT x.conv_id, x.nth, count(y.nth) AS again FROM g x LEFT JOIN g y ON x.conv_id = y.conv_id AND y.nth BETWEEN x.nth + 1 AND x.nth + 4
-  AND y.opens = 1 AND y.start - x.start <= 128 AND NOT x.lead GROUP BY 1, 2),
+  AND y.opens = 1 AND y.start - x.start <= least(128, greatest(0, 512 - greatest(x.system, 0) - y.tokens)) AND NOT x.lead GROUP BY 1, 2),
 i AS (SELECT conv_id, max(win) AS wins FROM g GROUP BY 1)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_chars,

@@ -19,7 +19,7 @@ def escape(x):
 
 def plain(turns, budget, history, most):
     """[(formatted, loss)] of one conversation; turns: (role, text) in order."""
-    tokens = [len(t.encode().split()) for _, t in turns]
+    tokens = [len(t.encode().split()) + chat.MARKS for _, t in turns]
     led = bool(turns) and turns[0][0] == "system"
     room = max(1, budget - history - (tokens[0] if led else 0))
     start, at = [], 0
@@ -40,7 +40,8 @@ def plain(turns, budget, history, most):
     out = []
     for w, own in enumerate(groups):
         begin = own[0]
-        old = [k for k in range(max(0, begin - most), begin) if not (led and k == 0) and start[begin] - start[k] <= history]
+        spare = min(history, max(0, budget - (tokens[0] if led else 0) - tokens[begin]))
+        old = [k for k in range(max(0, begin - most), begin) if not (led and k == 0) and start[begin] - start[k] <= spare]
         text, loss = "", []
         for k, again in [*([(0, True)] if led and w else []), *((k, True) for k in old), *((k, False) for k in own)]:
             role, body = turns[k]
@@ -74,6 +75,9 @@ def test_windows(spark, budget, history, most):
     for r in sorted(done.collect(), key=lambda r: (r.conv_id, r.window)):
         got[r.conv_id].append((r.formatted, [tuple(x) for x in r.loss]))
     assert got == {c: plain(t, budget, history, most) for c, t in grouped(rows).items()}
+    for r in done.select("n_tokens", "excess", F.size(F.filter(chat.read_turns(F.col("formatted")), lambda t: t["again"] & (t["role"] != "system"))).alias("old"), F.size(F.filter(chat.read_turns(F.col("formatted")), lambda t: ~t["again"] & (t["role"] != "system"))).alias("new")).collect():
+        assert r.excess == max(0, r.n_tokens - budget)
+        assert not r.excess or (r.new <= 1 and not r.old)
     back = defaultdict(list)
     for r in done.select("conv_id", "window", chat.read_turns(F.col("formatted")).alias("t")).orderBy("conv_id", "window").collect():
         back[r.conv_id] += [(x.role, x.text) for x in r.t if not x.again]
@@ -94,6 +98,16 @@ def test_query(spark):
     assert got == want
 
 
+def test_long_turns_and_texts(spark):
+    rows = [(1, 0, "system", "s " * 600), (1, 1, "user", "u " * 300), (1, 2, "assistant", "a " * 10), (2, 0, "user", "q " * 450), (2, 1, "assistant", "r " * 40), (2, 2, "user", "t " * 480), (3, 0, "user", "x <" * 400_000), (3, 1, "assistant", "\\" * 300_000)]
+    rows += [(4, k, "user", "") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.window, r.n_tokens, r.excess) for r in chat.windows(frame).collect())
+    assert [x for x in got if x[0] < 3] == [(1, 0, 904, 392), (1, 1, 614, 102), (2, 0, 452, 0), (2, 1, 42, 0), (2, 2, 482, 0)]
+    assert [x[2:] for x in got if x[0] == 3] == [(400_003, 399_491), (3, 0)]
+    assert all(x[2] <= 512 and x[3] == 0 for x in got if x[0] == 4)
+
+
 def test_odd_rows(spark):
     rows = [(None, 1, None, None, 1), (None, None, "user", "x", 2), (1, 1, "assistant", "y", 3), (1, 1, "assistant", "y", 3)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")
