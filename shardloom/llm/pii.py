@@ -11,11 +11,13 @@ which is 1 if the term occurs only with the entity and 0 if the two are
 independent. In a document that holds the entity, terms whose disclosure
 reaches FULL are removed and those that reach PARTIAL are generalised.
 Entities and pairs in fewer than SUPPORT documents are no evidence: any term
-of a text seen once would pass. A term is a run of TERM_LETTERS letters or
-more, lower-cased.
+of a text seen once would pass. A term is a run of letters and digits of any
+length, lower-cased; the threshold alone decides which terms tell.
 
 Patterns are matched once over each text, leftmost and non-overlapping, by
-splitting the text at the matches; starts and ends are code points. Quantifiers
+splitting the text at the matches; starts and ends are code points, from running
+sums over the lengths of gaps and matches, so the work grows as the text and not
+as the square of its matches. Quantifiers
 are possessive where nothing that follows could make them give back, so long
 runs neither overflow the stack nor take quadratic time.
 
@@ -29,9 +31,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shardloom.llm.common import cut
+from shardloom.llm.common import cut, let, running, running_sums
 
-SUPPORT, PARTIAL, FULL, TERM_LETTERS = 2, 0.9, 1.0, 4
+SUPPORT, PARTIAL, FULL = 2, 0.9, 1.0
 #: Candidate terms that are broadcast at most; more are joined after their counts.
 BROADCAST_TERMS = 100_000
 
@@ -41,22 +43,19 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"\p{L}{%d,}+" % TERM_LETTERS
+TERM = r"[\p{L}\p{N}]++"
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches; starts and ends in code points."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
-    def step(state, part):
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))
-        return F.when(part["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), F.array_append(state["found"], span).alias("found")))
+    def placed(p):
+        sizes = F.transform(p["hits"], lambda h, i: F.char_length(F.get(p["gaps"], i)) + F.char_length(h))
+        span = lambda ends: lambda h, i: F.struct((F.get(ends, i) - F.char_length(h)).cast("int").alias("start"), F.get(ends, i).cast("int").alias("end"), h.alias("value"))
+        return let(running_sums(sizes), lambda ends: F.transform(p["hits"], span(ends)))
 
-    begin = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
-    return F.aggregate(parts, begin, step, lambda state: state["found"])
+    return let(parts, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -105,10 +104,13 @@ def term_spans(rows: DataFrame, docs: DataFrame, text_col: str, support: int, pa
     entity = F.concat_ws(":", "s.kind", "s.value")
     held = rows.filter(F.size("spans") > 0).select("__row", "gaps", "terms", F.explode("spans").alias("s")).select("__row", "terms", entity.alias("entity")).dropDuplicates(["__row", "entity"])
     each = cut(held.select("__row", "entity"))
-    often = cut(each.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support))
-    shared = each.join(often, "entity")
+    # entities that stand in the same rows reveal the same: one class of them, known by its rows' hashes, meets the terms
+    mark = [F.bit_xor(F.xxhash64("__row", F.lit(k))).alias(f"rows{k}") for k in (0, 1)]
+    often = cut(each.groupBy("entity").agg(F.count("*").alias("c_e"), *mark).filter(F.col("c_e") >= support))
+    entities = ["c_e", "rows0", "rows1"]
+    shared = cut(each.join(often, "entity").select("__row", *entities).distinct())
     words = rows.filter(F.size("spans") > 0).select("__row", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("term"))
-    pairs = cut(shared.join(words, "__row").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support))
+    pairs = cut(shared.join(words, "__row").groupBy(*entities, "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support))
     terms = cut(pairs.select("term").distinct())
     written_terms = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(TERM), F.lit(0)))
     everywhere = docs.select(F.explode(F.array_distinct(F.transform(written_terms, lambda x: F.lower(x)))).alias("term"))
@@ -119,16 +121,29 @@ def term_spans(rows: DataFrame, docs: DataFrame, text_col: str, support: int, pa
     c = {x: F.col(x).cast("double") for x in ("c_e", "c_t", "c_et")}
     disclosure = F.when(F.col("c_e") < n, F.log(n * c["c_et"] / (c["c_e"] * c["c_t"])) / F.log(n / c["c_e"]))
     telling = pairs.join(counts, "term").withColumn("disclosure", disclosure).filter(F.col("disclosure") >= partial - 1e-9)
-    telling = cut(telling.select("entity", "term", "disclosure"))
-    of_row = shared.join(telling, "entity").groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure"))
+    telling = cut(telling.select(*entities, "term", "disclosure"))
+    of_row = shared.join(telling, entities).groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure"))
     parts = rows.filter(F.size("spans") > 0).select("__row", F.posexplode(F.arrays_zip("gaps", "terms")).alias("k", "part"))
     order = Window.partitionBy("__row").orderBy("k")
     size = F.char_length("part.gaps") + F.coalesce(F.char_length("part.terms"), F.lit(0))
     placed = parts.withColumn("end", F.sum(size).over(order).cast("int")).filter("part.terms IS NOT NULL")
     placed = placed.select("__row", F.lower("part.terms").alias("term"), F.col("part.terms").alias("value"), (F.col("end") - F.char_length("part.terms")).alias("start"), "end")
     action = F.when(F.col("disclosure") >= full - 1e-9, "removed").otherwise("generalised")
-    found = placed.join(of_row, ["__row", "term"]).select("__row", F.struct(action.alias("kind"), "start", "end", "value").alias("s"))
-    return found.groupBy("__row").agg(F.collect_list("s").alias("more"))
+    found = placed.join(of_row, ["__row", "term"]).select("__row", action.alias("kind"), "start", "end", "value")
+    return apart(rows, cut(found)).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
+
+
+def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of found (__row, kind, start, end, value) that overlap none of their row's base spans."""
+    base = rows.join(found.select("__row").distinct(), "__row", "left_semi").select("__row", F.explode("spans").alias("s"))
+    base = base.select("__row", F.lit(None).cast("string").alias("kind"), "s.start", "s.end", "s.value")
+    is_base, row = F.col("kind").isNull(), Window.partitionBy("__row")
+    # both frames grow with the row, the second one from the end: a frame that shrinks would be added up anew for each row
+    until = F.max(F.when(is_base, F.col("end"))).over(row.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(is_base, F.col("start"))).over(row.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    both = found.union(base).withColumn("until", until).withColumn("after", after)
+    free = (F.coalesce("until", F.lit(0)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end")))
+    return both.filter(~is_base & free).drop("until", "after")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, partial: float = PARTIAL, full: float = FULL, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -144,10 +159,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = slim.withColumn("gaps", F.when(some, F.split("__text", TERM, -1)).otherwise(none)).withColumn("terms", F.when(some, F.regexp_extract_all("__text", F.lit(TERM), F.lit(0))).otherwise(none))
     rows = cut(rows.drop("__text").withColumn("__row", F.monotonically_increasing_id()))
     more = term_spans(rows, docs, text_col, support, partial, full)
-    apart = lambda s: ~F.exists("spans", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    further = F.filter(F.coalesce("more", F.array().cast(rows.schema["spans"].dataType)), apart)
-    by_place = lambda a, b: F.when(a["kind"] != b["kind"], F.when(a["kind"] < b["kind"], -1).otherwise(1)).otherwise(a["start"] - b["start"])
-    return rows.join(more, "__row", "left").select("doc_id", F.col("spans").alias("base"), F.array_sort(further, by_place).alias("further"), *keep)
+    further = F.coalesce("more", F.array().cast(rows.schema["spans"].dataType))
+    return rows.join(more, "__row", "left").select("doc_id", F.col("spans").alias("base"), further.alias("further"), *keep)
 
 
 def counted(spans: Column, kind: str) -> Column:
@@ -161,16 +174,19 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind in angle brackets, or taken out if removed; overlapping spans count as one."""
+    """The text with each span generalised to its kind in angle brackets, or taken out if removed; overlapping spans count as one, the first and longest."""
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
+    label = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+
+    def joined(found):
+        def pieces(ends):
+            past = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)).cast("int")
+            piece = lambda s, i: F.when(s["start"] >= past(i), F.concat(F.substring(text, past(i) + 1, s["start"] - past(i)), label(s))).otherwise("")
+            return F.concat(F.array_join(F.transform(found, piece), ""), F.substring(text, F.get(ends, F.size(ends) - 1).cast("int") + 1, F.char_length(text)))
 
-    def step(state, s):
-        label = F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.when(s["start"] < state["at"], F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], gap, label).alias("out")))
+        return let(running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), pieces)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(spans, order), begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans, order), joined)).otherwise(text)
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, partial: float = PARTIAL, full: float = FULL) -> DataFrame:

@@ -109,7 +109,7 @@ FROM d JOIN p USING (s) LEFT JOIN c ON c.s = d.s AND c.doc_id IS NOT DISTINCT FR
 PII_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 k(o, kind, pat) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'term', '\p{L}{4,}')),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'term', '[\p{L}\p{N}]+')),
 u AS (SELECT r, o, kind, unnest(regexp_extract_all(text, pat)) AS hit, unnest(regexp_split_to_array(text, pat)) AS gap,
   unnest(generate_series(1, len(regexp_split_to_array(text, pat)))) AS i FROM d, k),
 p AS (SELECT r, o, kind, hit, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS "end" FROM u),

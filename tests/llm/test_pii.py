@@ -2,14 +2,18 @@
 
 import hashlib
 import math
+import random
 import re
-from collections import Counter, defaultdict
+import time
+from collections import Counter
+from itertools import accumulate
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from shardloom.llm import pii
+from shardloom.llm.common import running, running_sums
 from shardloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -37,7 +41,7 @@ def base(text):
 def plain(rows, support, partial, full):
     """(base, further) of each text by direct counting."""
     held = [base(t) for t in rows]
-    words = [[(m.start(), m.end(), m[0]) for m in regex.finditer(r"\p{L}{4,}", t)] for t in rows]
+    words = [[(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{N}]+", t)] for t in rows]
     n = len(rows)
     c_e, c_t, c_et = Counter(), Counter(), Counter()
     for spans, own in zip(held, words, strict=True):
@@ -101,5 +105,38 @@ def test_disclosure(spark, monkeypatch, most):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_short_terms_and_terms_with_digits_are_judged(spark):
+    texts = [f"Bo x{k}9 mail bo@ex.org id u77 the 李" for k in range(3)] + [f"the rest {k} the" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {(s.kind, s.value) for s in r.further} for r in pii.find_spans(df).collect()}
+    assert all(got[k] == {("removed", w) for w in ("Bo", "mail", "id", "u77", "李")} for k in range(3))
+    assert not any(got[k] for k in range(3, 63))
+    assert {r.text for r in pii.sanitised(df).collect() if r.doc_id == 1} == {" x19  <email>   the "}
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    numbers = [random.Random(4).randrange(50) for _ in range(70_000)]
+    row = spark.createDataFrame([(numbers,)], "x array<int>")
+    got = row.select(running_sums(F.col("x")).alias("s"), running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+    assert got.s == list(accumulate(numbers)) and got.m == list(accumulate(numbers, max))
+    took = []
+    for n in (4000, 32_000):
+        text = "😀 ".join(f"user{i}@ex{i}.org and" for i in range(n))
+        began = time.time()
+        spans = spark.createDataFrame([(text,)], "text string").select(pii.base_spans(F.col("text")).alias("s")).first().s
+        took.append(time.time() - began)
+        assert [tuple(s) for s in spans] == base(text)
+    assert took[1] < 30 * max(took[0], 0.3)
+
+
+def test_overlaps_in_long_texts(spark):
+    """Terms of the entities' own texts are left to the entities, wherever they stand."""
+    text = " ".join(f"+1 234 567 {k:04d} zebra user{k}@ex.org" for k in range(3000))
+    df = spark.createDataFrame([(0, text), (1, text)] + [(k, "filler text") for k in range(2, 20)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_spans(df).collect()}
+    assert {s.value for s in got[0].further} == {"zebra"} and len(got[0].further) == 3000
+    assert pii.sanitised(df).filter("doc_id = 1").first().text == " ".join(["<phone>  <email>"] * 3000)
+
+
 def pii_tuple(spans):
     return [(s.kind, s.start, s.end) for s in spans]
