@@ -1,8 +1,10 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For every prefix of a piece there is exactly one token that byte-pair merging
-leaves last. The suffix links of an automaton over the vocabulary list the
-tokens that end at a position, longest first; a token is the last one if it is
+leaves last. The suffix links of an automaton over the vocabulary (a trie of the
+tokens with links to their longest suffixes, not the suffix automaton of a text:
+the links that are followed are the same) list the tokens that end at a
+position, longest first; a token is the last one if it is
 compatible with the last token of the prefix before it, that is, if merging the
 two tokens' bytes gives the same two tokens back. Back-pointers then give the
 ids, exactly as merging in rank order would.
@@ -10,6 +12,11 @@ ids, exactly as merging in rank order would.
 Pieces (the pre-tokenizer's matches) are encoded once for each worker while
 they stay in a bounded table; texts never leave the task that read them.
 
+The vocabulary file is read by the driver and sent to the workers. A file that
+asks for anything else than byte-level pieces and plain merges (a normalizer,
+another pre-tokenizer, ignored merges, word ends, tokens that strip spaces) is
+refused, as its ids would be others.
+
 Defined results: null text is empty and has no ids; extra columns are carried
 along; an empty table gives an empty table; a text of one very long piece is
 encoded in time linear in its length.
@@ -17,10 +24,11 @@ encoded in time linear in its length.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 from array import array
-from functools import lru_cache
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -45,13 +53,30 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: What a vocabulary file must say of its model, its pre-tokenizer and its added tokens.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+ADDED_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def refuse_others(spec: dict) -> None:
+    """An error for a vocabulary file that asks for what Encoder does not do."""
+    wants = [("normalizer", spec.get("normalizer"), None), ("post_processor", spec.get("post_processor"), None)]
+    wants += [(f"model.{k}", spec["model"].get(k, v) or v, v) for k, v in MODEL.items()]
+    wants += [(f"pre_tokenizer.{k}", (spec.get("pre_tokenizer") or {}).get(k), v) for k, v in PRE_TOKENIZER.items()]
+    wants += [(f"added token {x['content']}: {k}", x.get(k, v), v) for x in spec.get("added_tokens", []) for k, v in ADDED_TOKEN.items()]
+    wrong = [f"{name} is {found!r}" for name, found, want in wants if found != want]
+    if wrong:
+        raise ValueError("this vocabulary file is not supported: " + "; ".join(wrong))
+
+
 class Encoder(dict):
-    """Maps a piece to its ids as little-endian unsigned 32-bit integers."""
+    """Maps a piece to its ids as little-endian unsigned 32-bit integers; text: a vocabulary file's."""
 
-    def __init__(self, path: str, pieces: int = PIECES):
+    def __init__(self, text: str, pieces: int = PIECES):
         super().__init__()
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = json.loads(text)
+        refuse_others(spec)
         model, symbols = spec["model"], byte_symbols()
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         vocab = model["vocab"]
@@ -166,10 +191,27 @@ class Encoder(dict):
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; built once in each worker."""
-    return Encoder(path)
+def read_vocabulary(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def sent(spark, path: str) -> Callable[[], Encoder]:
+    """What gives a worker its encoder for a vocabulary file of the driver's: built once in each worker."""
+    text = read_vocabulary(path)
+    refuse_others(json.loads(text))
+    key, shared = hashlib.sha256(text.encode()).hexdigest(), spark.sparkContext.broadcast(text)
+
+    def encoder() -> Encoder:
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = Encoder(shared.value)
+        return _encoders[key]
+
+    return encoder
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -178,8 +220,10 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     wide = df.select(raw(text_col).alias("__raw"), *[F.col(f"`{c}`") for c in keep])
     types = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{ids_col}` binary", "n_tokens long"])
 
+    encoder = sent(df.sparkSession, path)
+
     def over(batch):
-        encode = encoder(path).encode
+        encode = encoder().encode
         ids = [encode(x.decode()) for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*keep, ids_col, "n_tokens"])
 
@@ -192,8 +236,10 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
     wide = df.select(F.coalesce(F.col(ids_col), F.lit(b"")).alias("__ids"), *[F.col(f"`{c}`") for c in keep])
     types = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out_col}` string"])
 
+    encoder = sent(df.sparkSession, path)
+
     def over(batch):
-        decode = encoder(path).decode
+        decode = encoder().decode
         texts = pa.array([decode(x) for x in batch.column(0).to_pylist()], pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*keep, out_col])
 
@@ -206,8 +252,10 @@ def bpe_roundtrip(df: DataFrame, path: str, text_col: str = "text", ids_col: str
     wide = df.select(raw(text_col).alias("__raw"), *[F.col(f"`{c}`") for c in keep])
     types = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{ids_col}` binary", "n_tokens long", f"`{out_col}` string"])
 
+    encoder = sent(df.sparkSession, path)
+
     def over(batch):
-        own = encoder(path)
+        own = encoder()
         ids = [own.encode(x.decode()) for x in batch.column(0).to_pylist()]
         texts = pa.array([own.decode(x) for x in ids], pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), texts], names=[*keep, ids_col, "n_tokens", out_col])
@@ -217,7 +265,5 @@ def bpe_roundtrip(df: DataFrame, path: str, text_col: str = "text", ids_col: str
 
 def ids_array(ids_col: str = "ids"):
     """Column expression: packed ids as array<int>."""
-    ids = F.hex(ids_col)
-    step = F.sequence(F.lit(0), (F.length(ids_col) / 4).cast("int") - 1)
-    part = lambda i: F.conv(F.concat(*[F.substring(ids, i * 8 + k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
-    return F.when(F.length(ids_col) > 0, F.transform(step, part)).otherwise(F.array().cast("array<int>"))
+    part = lambda x: F.conv(F.concat(*[F.substring(x, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
+    return F.transform(F.regexp_extract_all(F.hex(ids_col), F.lit("[0-9A-F]{8}"), F.lit(0)), part)

@@ -23,6 +23,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shardloom.llm.common import arrow_map, cut, raw
@@ -142,43 +143,46 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows are dealt by range of the identifier, so each but the last of a
     partition meets its next one there. Of every partition the first and the
-    last row come out with their texts, are put in order (two rows a partition)
-    and judged in a second step.
+    last row come out with their texts and the partition's number; the numbers
+    alone are put in order, and each last row is joined to the first row of the
+    partition that comes next and judged in a second step.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("body").desc()]
     dealt = _slim(df, id_col, text_col).repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.binary()]
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")] + ["edge", "body"]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.binary(), pa.int32()]
+    names = [x.split(" ")[0] for x in SCHEMA.split(", ")] + ["edge", "body", "part"]
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     def over(batches):
-        held = None
+        held, part_id = None, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if held is None:
-                        rows.append((doc, *[None] * 6, 0, body))
+                        rows.append((doc, *[None] * 6, 0, body, part_id))
                     else:
-                        rows.append((*_judged(held[0], held[1], text := body.decode(), digest), None, None))
+                        rows.append((*_judged(held[0], held[1], text := body.decode(), digest), None, None, None))
                     held = (doc, text if held is not None else body.decode())
                 if rows:
                     yield made(rows)
         if held is not None:
-            yield made([(held[0], *[None] * 6, 1, held[1].encode())])
+            yield made([(held[0], *[None] * 6, 1, held[1].encode(), part_id)])
 
-    rows = cut(dealt.mapInArrow(over, SCHEMA + ", edge int, body binary"))
-    edges = rows.filter("edge IS NOT NULL").select("doc_id", "body", "edge")
-    everything = Window.partitionBy(F.lit(0)).orderBy(F.col("doc_id").desc_nulls_last(), F.col("body").desc(), "edge")
-    # each partition's edges are (first, last): the row after a last one is the next partition's first, or the first of all
-    first = F.first("body").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = edges.withColumn("following", F.coalesce(F.lead("body").over(everything), first)).filter("edge = 1").select("doc_id", "body", "following")
+    rows = cut(dealt.mapInArrow(over, SCHEMA + ", edge int, body binary, part int"))
+    firsts = rows.filter("edge = 0").select("part", F.col("body").alias("following"))
+    lasts = rows.filter("edge = 1").select(F.col("part").alias("of"), "doc_id", "body")
+    # one number a partition that holds rows: the first of them comes after the last
+    numbers = Window.partitionBy(F.lit(0)).orderBy("part")
+    least = F.min("part").over(numbers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    nexts = rows.filter("edge = 0").select("part").select(F.col("part").alias("of"), F.coalesce(F.lead("part").over(numbers), least).alias("part"))
+    ends = lasts.join(nexts, "of").join(firsts, "part").select("doc_id", "body", "following")
 
     def last(batch):
         out = [_judged(d, t.decode(), f.decode(), digest) for d, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds[:7])], names=names[:7])
 
-    whole = rows.filter("edge IS NULL").drop("edge", "body").union(arrow_map(ends, last, SCHEMA))
+    whole = rows.filter("edge IS NULL").drop("edge", "body", "part").union(arrow_map(ends, last, SCHEMA))
     return told_apart(whole, df, id_col, text_col, digest)

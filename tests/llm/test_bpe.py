@@ -1,6 +1,7 @@
 """BPE against the library on real and odd texts."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -24,15 +25,18 @@ def library():
     return own
 
 
+OWN = bpe.Encoder(bpe.read_vocabulary(PATH))
+
+
 def ids(text):
-    return np.frombuffer(bpe.encoder(PATH).encode(text), "<u4").tolist()
+    return np.frombuffer(OWN.encode(text), "<u4").tolist()
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(max_size=80))
 def test_any_text(library, text):
     assert ids(text) == library.encode(text, add_special_tokens=False).ids
-    assert bpe.encoder(PATH).decode(bpe.encoder(PATH).encode(text)).decode() == text
+    assert OWN.decode(OWN.encode(text)).decode() == text
 
 
 def test_odd_texts(library):
@@ -44,7 +48,7 @@ def test_odd_texts(library):
 
 
 def test_small_tables_give_the_same_ids(library):
-    small = bpe.Encoder(PATH, pieces=3)
+    small = bpe.Encoder(bpe.read_vocabulary(PATH), pieces=3)
     text = "one two three four five two one six seven one " * 3
     assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -60,6 +64,15 @@ def test_query_against_the_library(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_files_with_other_rules_are_refused():
+    with pytest.raises(ValueError, match="normalizer.*end_of_word_suffix"):
+        bpe.Encoder(bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    spec = json.loads(bpe.read_vocabulary(PATH))
+    for change in ({"pre_tokenizer": None}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.refuse_others(spec | change)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5, None), (None, "", 6, "x"), (2, "hello world", 7, "y"), (2, "hello world", 7, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int, n_tokens string")
