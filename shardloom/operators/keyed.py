@@ -12,8 +12,10 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 
 def combine_by_key(df: DataFrame, key: str, **aggregates: Column) -> DataFrame:
@@ -29,25 +31,30 @@ def group_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
 def combine_opaque(df: DataFrame, key: str, value: str, create: Callable, merge_value: Callable, merge_combiners: Callable, finish: Callable, result: str) -> DataFrame:
     """key and finish(combiner) for any triple of Python functions; merge_value takes (value, combiner).
 
-    Nulls are one key. Combiners travel pickled; only they are shuffled, one for
-    each key and batch, and merged as each task streams its keys in order.
+    Functions get values as Python objects, nulls as None. Nulls are one key.
+    Combiners travel pickled; only they are shuffled, one for each key and batch,
+    and merged as each task streams its keys in order.
     """
-    key_type = df.schema[key].dataType.simpleString()
+    key_type = df.schema[key].dataType
+    key_arrow, value_arrow = to_arrow_type(key_type), to_arrow_type(_parse_datatype_string(result))
 
     def partial(batches):
-        for pdf in batches:
+        for batch in batches:
             held = {}
-            for k, v in zip(pdf["key"], pdf["value"], strict=True):
-                k = None if pd.isna(k) else k
+            for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held[k] = merge_value(v, held[k]) if k in held else create(v)
-            yield pd.DataFrame({"key": pd.Series(list(held), dtype=object), "combiner": [pickle.dumps(c) for c in held.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), key_arrow), pa.array([pickle.dumps(c) for c in held.values()], pa.binary())], names=["key", "combiner"])
 
     def final(batches):
         last, whole = None, None  # whole: a list of the one combiner so far
-        for pdf in batches:
+
+        def rows(keys, values):
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_arrow), pa.array(values, value_arrow)], names=["key", "value"])
+
+        for batch in batches:
             keys, values = [], []
-            for k, packed in zip(pdf["key"], pdf["combiner"], strict=True):
-                k, c = None if pd.isna(k) else k, pickle.loads(packed)
+            for k, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = pickle.loads(packed)
                 if whole and k == last:
                     whole = [merge_combiners(whole[0], c)]
                     continue
@@ -55,13 +62,27 @@ def combine_opaque(df: DataFrame, key: str, value: str, create: Callable, merge_
                     keys.append(last)
                     values.append(finish(whole[0]))
                 last, whole = k, [c]
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "value": pd.Series(values, dtype=object)})
+            yield rows(keys, values)
         if whole:
-            yield pd.DataFrame({"key": pd.Series([last], dtype=object), "value": pd.Series([finish(whole[0])], dtype=object)})
+            yield rows([last], [finish(whole[0])])
 
     pairs = df.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    dealt = pairs.mapInPandas(partial, f"key {key_type}, combiner binary").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(final, f"key {key_type}, value {result}")
+    dealt = pairs.mapInArrow(partial, f"key {key_type.simpleString()}, combiner binary").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(final, f"key {key_type.simpleString()}, value {result}")
+
+
+def cogroup(key: str, **parents: tuple[DataFrame, str]) -> DataFrame:
+    """key and for each parent (frame, value column) the sorted array of its values, empty where it has none; nulls are one key.
+
+    One shuffle: the parents' rows are grouped together, not joined.
+    """
+    rows = None
+    for name, (frame, value) in parents.items():
+        columns = [F.struct(F.col(value).alias("v")).alias(n) if n == name else F.lit(None).alias(n) for n in parents]
+        frame = frame.select(F.col(key).alias("key"), *columns)
+        rows = frame if rows is None else rows.union(frame)
+    values = [F.array_sort(F.transform(F.collect_list(n), lambda s: s["v"])).alias(n) for n in parents]
+    return rows.groupBy("key").agg(*values)
 
 
 def upsert(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:

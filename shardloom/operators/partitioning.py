@@ -65,3 +65,8 @@ def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that meet a condition, and the others (null counts as not met)."""
     met = F.coalesce(condition, F.lit(False))
     return df.filter(met), df.filter(~met)
+
+
+def range_partition(key: Column, bounds: list) -> Column:
+    """The range that a key falls in: the number of bounds below it; null to 0."""
+    return F.coalesce(sum((key > F.lit(b)).cast("long") for b in bounds), F.lit(0).cast("long"))

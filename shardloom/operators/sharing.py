@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shardloom.sources.tables import cut
 
-#: Rows of a lookup side that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of a lookup side that are broadcast at most; a row counts its values' text and VALUE_BYTES for each.
+BROADCAST_ROWS, BROADCAST_BYTES, VALUE_BYTES = 1_000_000, 64 << 20, 16
 
 #: The storage levels by name.
 LEVELS = {
@@ -27,10 +30,14 @@ LEVELS = {
 }
 
 
-def broadcast_lookup(df: DataFrame, side: DataFrame, on, most: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
-    """A join that broadcasts the side if it has at most `most` rows; a larger one is left to the planner."""
-    small = len(side.limit(most + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") <= most).take(1)) == 1
-    return df.join(F.broadcast(side) if small else side, on, how)
+def broadcast_lookup(df: DataFrame, side: DataFrame, on, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES, how: str = "inner") -> DataFrame:
+    """A join that broadcasts the side if it has at most `most` rows of `most_bytes` in all; a larger one is left to the planner.
+
+    The side is measured in one job, which stops reading once it has too many rows.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") + VALUE_BYTES for c in side.columns), F.lit(0).cast("long"))
+    rows, size = side.limit(most + 1).select(width.alias("width")).agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return df.join(F.broadcast(side) if rows <= most and size <= most_bytes else side, on, how)
 
 
 def cached(df: DataFrame, level: str = "MEMORY_AND_DISK") -> DataFrame:
@@ -38,6 +45,17 @@ def cached(df: DataFrame, level: str = "MEMORY_AND_DISK") -> DataFrame:
     return df if level == "NONE" else df.persist(LEVELS[level])
 
 
+@contextmanager
+def keeping(df: DataFrame, level: str = "MEMORY_AND_DISK") -> Iterator[DataFrame]:
+    """df kept at a storage level while the block runs."""
+    kept = cached(df, level)
+    try:
+        yield kept
+    finally:
+        if level != "NONE":
+            kept.unpersist()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that all executors share."""
     return cut(df)

@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries."""
+
+from shardloom.plans import policies, registry  # noqa: F401  the first adds its queries to the second

@@ -301,7 +301,8 @@ def _used_twice(rows):
 
 @register("cached_reuse", REUSE_SQL)
 def cached_reuse(spark, sf_dir):
-    return _used_twice(sharing.cached(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")))
+    with sharing.keeping(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")) as orders:
+        return sharing.checkpointed(_used_twice(orders))
 
 
 @register("checkpointed", REUSE_SQL)
@@ -395,12 +396,15 @@ def whole_words(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), textual.whole_words(F.col("o_orderkey")).alias("size"))
 
 
-@register("bytes_equal", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND encode(a.text) = encode(b.text) AND a.source = b.source")
+@register("bytes_equal", "SELECT doc_id, min(doc_id) OVER k AS least, count(*) OVER k AS n FROM documents WINDOW k AS (PARTITION BY source, encode(text))")
 def bytes_equal(spark, sf_dir):
-    """Pairs of a source's documents with equal bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").cast("binary").alias("body"))
-    a, b = docs.select(F.col("doc_id").alias("a"), "source", "body"), docs.select(F.col("doc_id").alias("b"), "source", "body")
-    return a.join(b, ["source", "body"]).filter("a < b").select("a", "b")
+    """Each document with the smallest of its source that has equal bytes, and their number: digests meet, then bytes are compared."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), F.col("text").cast("binary").alias("body"))
+    docs = docs.withColumn("digest", F.coalesce(F.sha2("body", 256), F.lit(""))).withColumn("length", F.coalesce(F.octet_length("body"), F.lit(-1)))
+    least = docs.groupBy("source", "digest", "length").agg(F.min("doc_id").alias("least"), F.min_by("body", "doc_id").alias("first"), F.count("*").alias("n"))
+    same = F.col("body").eqNullSafe(F.col("first"))
+    joined = docs.join(least, ["source", "digest", "length"])
+    return joined.select("doc_id", F.when(same, F.col("least")).otherwise(F.col("doc_id")).alias("least"), F.when(same, F.col("n")).otherwise(1).alias("n"))
 
 
 ADLER = "list_reduce(list_prepend({{'a': 1::BIGINT, 'b': 0::BIGINT}}, list_transform(string_split({0}, ''), lambda c: {{'a': ascii(c)::BIGINT, 'b': 0::BIGINT}})), lambda s, x: {{'a': (s.a + x.a) % 65521, 'b': (s.b + s.a + x.a) % 65521}})"

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for cut lineage.
 
-    It is spark.checkpoint.dir where the cluster sets it; only a session without
-    that setting (tests, local runs) gets a folder of its own.
+    It is spark.checkpoint.dir where that is set; only a session whose driver is
+    its one executor (tests, local runs) gets a folder of its own without it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return where or "/tmp/checkpoints/shardloom"
 
 
@@ -59,6 +63,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spent: DataFrame | None = None) -> DataFrame:
+    """cut(make()), after which the files that make() cut on the way are removed, and those of `spent`, an earlier result of this that is read no more.
+
+    For stages that run one after another in one thread of the driver.
+    """
+    begin = len(_cuts)
+    out = cut(make())
+    gone = _cuts[begin:-1]
+    del _cuts[begin:-1]
+    files = [x.removeprefix("file://") for x in spent.inputFiles()[:1]] if spent is not None else []
+    gone += [x for x in _cuts if any(f"/{x[1].rpartition('/')[2]}/" in f for f in files)]
+    for entry in gone:
+        _remove(entry)
+    _cuts[:] = [x for x in _cuts if x not in gone]
+    return out
+
+
+def _remove(entry: tuple[SparkSession, str]) -> None:
+    spark, path = entry
+    with contextlib.suppress(Exception):  # the session may be gone already
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def drop_cuts() -> None:
     """Removes the files that cut() has written so far; frames that still read them are lost.
@@ -67,7 +95,4 @@ def drop_cuts() -> None:
     between jobs.
     """
     while _cuts:
-        spark, path = _cuts.pop()
-        with contextlib.suppress(Exception):  # the session may be gone already
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(_cuts.pop())
