@@ -28,6 +28,7 @@ table; other columns are ignored. Identifiers lie below 2**62.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -470,7 +471,7 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def run_pairs(rows: np.ndarray, least: float):
-    """Pairs (node, node) of rows (key, size, node, group, place, parity words) with one key that can have the similarity and are not of one group.
+    """Pairs (node, node, sum of their sizes) of rows (key, size, node, group, place, parity words) with one key that can have the similarity and are not of one group.
 
     rows are sorted by key and size; place is the key's in the set's order, so
     at most the smaller number before it and after it is in both sets.
@@ -487,7 +488,7 @@ def run_pairs(rows: np.ndarray, least: float):
         ok = (a[:, 3] != b[:, 3]) & (most >= least * (a[:, 1] + b[:, 1] - most) - 1e-9)
         ok &= np.bitwise_count(bits[i] ^ bits[i + lag]).sum(axis=1, dtype=np.int64) <= (a[:, 1] + b[:, 1]) * (1 - least) / (1 + least) + 1e-9
         if ok.any():
-            yield np.minimum(a[ok, 2], b[ok, 2]), np.maximum(a[ok, 2], b[ok, 2])
+            yield np.minimum(a[ok, 2], b[ok, 2]), np.maximum(a[ok, 2], b[ok, 2]), a[ok, 1] + b[ok, 1]
         lag += 1
 
 
@@ -511,7 +512,7 @@ def runs(batches):
 
 
 def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: int, least: float, heavy_from: int = HEAVY) -> DataFrame:
-    """a, b: candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
+    """a, b, sizes (of both sets): candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
 
     slim: body; groups: node, component of all classes, by what is linked already, and their parity words.
     """
@@ -558,10 +559,60 @@ def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: in
 
     def pairs(batches):
         for rows in runs(batches):
-            for a, b in run_pairs(rows, least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for found in run_pairs(rows, least):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "sizes"])
 
-    return cut(named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(pairs, "a long, b long").distinct())
+    return cut(named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(pairs, "a long, b long, sizes long").distinct())
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity bits of a set, a power of two of them and at least 4 for each element; a wider sketch folds to a narrower one."""
+    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((mixed(hashes) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(mine: bytes, theirs: bytes) -> int:
+    """Bits in which two sketches differ: at most as many as the sets have elements that only one of them holds."""
+    x, y = sorted((np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """node: the classes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def joined(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """pairs (a, b, others) with mine and theirs, what is held (node, hashes) of both."""
+    left = held.select(F.col("node").alias("a"), F.col("hashes").alias("mine"))
+    right = held.select(F.col("node").alias("b"), F.col("hashes").alias("theirs"))
+    return pairs.join(left, "a").join(right, "b").select("mine", "theirs", *pairs.columns)
+
+
+def sifted(pairs: DataFrame, held_sets: Callable, least: float) -> DataFrame:
+    """a, b: the pairs (a, b, sizes) whose sketches do not show that they are less similar; no similar pair is left out."""
+
+    def over(batch):
+        mine, theirs, sizes = (batch.column(k).to_pylist() for k in (0, 1, 4))
+        ok = pa.array([sketches_differ(x, y) <= n * (1 - least) / (1 + least) + 1e-9 for x, y, n in zip(mine, theirs, sizes, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (2, 3)], names=["a", "b"])
+
+    return arrow_map(joined(pairs, cut(held_sets(ends(pairs), sketch))), over, "a long, b long")
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs whose sets (node, hashes) have the similarity."""
+
+    def over(batch):
+        ok = []
+        for mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (2, 3)], names=["a", "b"])
+
+    return arrow_map(joined(pairs, held), over, "a long, b long")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS) -> DataFrame:
@@ -591,8 +642,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     coarse = components(links(classes, 2, distance, further, bucket))
     coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
 
-    def held_sets(nodes):
-        """node, hashes of the classes in nodes, and of a few more."""
+    def held_sets(nodes, made):
+        """node, hashes: what is made of the sets of the classes in nodes, and of a few more."""
         shared = df.sparkSession.sparkContext.broadcast(bloom_filter(nodes))
 
         def sets(batch):
@@ -602,11 +653,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found[numbers.of(hashes)] = hashes
             nodes = np.array(list(found), np.int64)
             hit = may_hold(shared.value, nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([found[x].tobytes() for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([made(found[x]) for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
 
         return arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
 
-    held = held_sets(coarse.select("node"))
+    held = held_sets(coarse.select("node"), lambda hashes: hashes.tobytes())
     blocks = F.ceil(F.col("n") / most_sets).cast("int")
     sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
     dealt = coarse.join(cut(sizes), "component").withColumn("blocks", blocks)
@@ -635,21 +686,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = components(dealt.mapInArrow(verify, "a long, b long"))
     parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     groups = classes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *odd)
-    more = missed_links(slim, groups, numbers, shingle, similarity)
+    more = cut(sifted(missed_links(slim, groups, numbers, shingle, similarity), held_sets, similarity))
     if not more.isEmpty():
-        kept_sets = cut(held_sets(more.select(F.col("a").alias("node")).union(more.select("b")).distinct()))
-        left = kept_sets.select(F.col("node").alias("a"), F.col("hashes").alias("mine"))
-        right = kept_sets.select(F.col("node").alias("b"), F.col("hashes").alias("theirs"))
-
-        def judge(batch):
-            ok = []
-            for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-        judged = arrow_map(more.join(left, "a").join(right, "b").select("a", "b", "mine", "theirs"), judge, "a long, b long")
+        judged = verified(more, cut(held_sets(ends(more), lambda hashes: hashes.tobytes())), similarity)
         parts = components(judged.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     rows = docs.select("doc_id", "body_hash", "node").join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))

@@ -99,6 +99,21 @@ def test_sets_that_share_half_a_digest_stay_apart(spark):
     assert {r.node for r in same.collect()} == {7, 8} and not none.renamed
 
 
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(7)
+    parted = 0
+    for n in [1, 2, 5, 16, 17, 63, 64, 65, 300, 1000, 4000] * 30:
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.3, 0.7, 0.9, 1.0])], rng.integers(0, 2**63, rng.integers(0, n // 4 + 2), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        differ = simhash.sketches_differ(simhash.sketch(x), simhash.sketch(y))
+        assert differ <= len(x) + len(y) - 2 * both
+        near, may = both >= 0.8 * (len(x) + len(y) - both) - 1e-9, differ <= (len(x) + len(y)) * 0.2 / 1.8 + 1e-9
+        assert may or not near
+        parted += not may
+    assert parted > 100
+
+
 def test_very_long_texts(spark):
     words = [f"w{i * i % 9973}-{i}" for i in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-5000])), (3, " ".join(words[30_000:])), (4, "x" * 500_000), (5, "x" * 500_000 + " y")]
@@ -141,4 +156,4 @@ def test_prefixes_of_similar_sets_meet():
         a, b = (simhash.prefix(s, 0.8, heavy, weight).tolist() for s in (x, y))
         rows = sorted((k, len(s), node, node, place, *simhash.parity(s).tolist()) for node, s, p in ((0, x, a), (1, y, b)) for place, k in enumerate(p))
         assert set(a) & set(b)
-        assert any(len(u) for u, _ in simhash.run_pairs(np.array(rows, np.int64), 0.8))
+        assert any(len(u) for u, _, _ in simhash.run_pairs(np.array(rows, np.int64), 0.8))
