@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _cuts: list[tuple[SparkSession, str]] = []
+#: Of them those that the last stage needs until its result has been written.
+_spent: list[tuple[SparkSession, str]] = []
 
 #: The tables that a data folder holds.
 TABLES = (
@@ -80,6 +82,27 @@ def settled(make: Callable[[], DataFrame], spent: DataFrame | None = None) -> Da
     return out
 
 
+def frees_before(stage: Callable) -> Callable:
+    """stage(spark, docs, ...), which first removes what the stage called before it cut on the way to its result.
+
+    For stages whose results are written before the next one is called.
+    """
+
+    def run(spark, docs, *rest):
+        while _spent:
+            entry = _spent.pop()
+            _remove(entry)
+            if entry in _cuts:
+                _cuts.remove(entry)
+        begin = len(_cuts)
+        out = stage(spark, docs, *rest)
+        _spent.extend(_cuts[begin:])
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
 def _remove(entry: tuple[SparkSession, str]) -> None:
     spark, path = entry
     with contextlib.suppress(Exception):  # the session may be gone already
