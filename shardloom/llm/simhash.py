@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.llm.bloom import bloom_filter, may_hold
-from shardloom.llm.common import arrow_map, cut, raw
+from shardloom.llm.common import arrow_map, cut, in_steps, raw
 from shardloom.llm.components import components
 from shardloom.llm.grams import mixed
 
@@ -249,6 +249,12 @@ def bucket_links(node: np.ndarray, w: np.ndarray, distance: int, further: int |
     return node[np.concatenate(left).astype(int)], node[np.concatenate(right).astype(int)]
 
 
+def met_blocks(member, blocks):
+    """Numbers of the pairs of blocks in which a member of a group of `blocks` blocks stands: any two members share one."""
+    mine = F.pmod(F.xxhash64(member), blocks).cast("int")
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, mine) * F.lit(1 << 20) + F.greatest(x, mine))
+
+
 def links(classes: DataFrame, words: int, distance: int, further: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between classes (node, w0, ...) that hold their components together; verified, some repeated."""
     total = classes.count()
@@ -285,8 +291,7 @@ def links(classes: DataFrame, words: int, distance: int, further: int | None = N
         if large.isEmpty():
             full = []
     if full:
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 20) + F.greatest(x, mine))
+        meets = met_blocks("node", F.col("blocks"))
         rows = rows.join(large, "key", "left").withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(meets))).drop("blocks")
     else:
         rows = rows.withColumn("block", F.lit(0))
@@ -347,8 +352,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 #: Bits in which the two fingerprint words of coarsely linked sets may differ; near copies do in fewer, prefixes find all other pairs.
 DISTANCE, FURTHER = 6, 10
-#: Classes of a coarse group that stand in one block; larger groups are verified as pairs of blocks.
-SETS = 1 << 9
+#: Classes of a coarse group that stand in one block, and shingles that they hold, about; larger groups are verified as pairs of blocks.
+SETS, SET_SHINGLES = 1 << 9, 1 << 22
 #: Prefixes that hold a shingle from which on it comes after rarer ones, and such shingles that are told apart at most (16 MB).
 HEAVY, MOST_HEAVY = 32, 1 << 20
 #: Words of parity bits by which candidates of prefixes are sifted; a power of two.
@@ -511,31 +516,40 @@ def runs(batches):
         yield np.concatenate(held)
 
 
-def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: int, least: float, heavy_from: int = HEAVY) -> DataFrame:
+def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: int, least: float, heavy_from: int = HEAVY, bucket: int = BUCKET) -> DataFrame:
     """a, b, sizes (of both sets): candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
 
+    A task gives the prefix of a class once, however many copies of it it reads,
+    and a shingle in the prefixes of over `bucket` classes is dealt out as pairs of blocks.
+
     slim: body; groups: node, component of all classes, by what is linked already, and their parity words.
     """
     context = slim.sparkSession.sparkContext
+    schema = "key long, size long, node long, place long"
     none = np.zeros(0, "<u8"), np.zeros(0, np.int64)
 
     def prefixes(shared):
-        def over(batch):
+        def over(batches):
             heavy, weight = shared.value if shared is not None else none
-            keys, nodes, sizes, places = [], [], [], []
-            for body in batch.column(0).to_pylist():
-                hashes = shingle_hashes(body, shingle)
-                if len(hashes):
+            given: set[int] = set()
+            for batch in in_steps(batches):
+                keys, nodes, sizes, places = [], [], [], []
+                for body in batch.column(0).to_pylist():
+                    hashes = shingle_hashes(body, shingle)
+                    node = numbers.of(hashes)
+                    if not len(hashes) or node in given:
+                        continue
+                    given.add(node)
                     own = prefix(hashes, least, heavy, weight)
                     keys.append(own)
-                    nodes.append(np.full(len(own), numbers.of(hashes)))
+                    nodes.append(np.full(len(own), node))
                     sizes.append(np.full(len(own), len(hashes)))
                     places.append(np.arange(len(own)))
-            if keys:
-                keys = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, nodes, places))], names=["key", "size", "node", "place"])
+                if keys:
+                    keys = np.concatenate(keys).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, nodes, places))], names=["key", "size", "node", "place"])
 
-        return arrow_map(slim.select("body"), over, "key long, size long, node long, place long")
+        return slim.select("body").mapInArrow(over, schema)
 
     counts = cut(prefixes(None).groupBy("key").count().filter(F.col("count") > heavy_from))
     found = counts.orderBy(F.desc("count"), "key").limit(MOST_HEAVY).toArrow()
@@ -552,9 +566,13 @@ def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: in
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["key", "size", "node", "place"])
 
-    schema = "key long, size long, node long, place long"
     repeated = cut(prefixes(shared).repartition("key").sortWithinPartitions("key", "node").mapInArrow(again, schema))
     words = [f"p{k}" for k in range(PARITY)]
+    full = cut(repeated.groupBy("key").count().filter(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")))
+    if not full.isEmpty():
+        # a pair of blocks has a key of its own; were two of them equal, their rows would be compared as well
+        keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(met_blocks("node", F.col("blocks")), lambda x: F.xxhash64("key", x)))
+        repeated = repeated.join(full, "key", "left").select(F.explode(keys).alias("key"), "size", "node", "place")
     named = repeated.join(groups, "node").select("key", "size", "node", "component", "place", *words)
 
     def pairs(batches):
@@ -615,7 +633,7 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return arrow_map(joined(pairs, held), over, "a long, b long")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS, most_shingles: int = SET_SHINGLES) -> DataFrame:
     """doc_id, body_hash (xxhash64 of the text), component_id, kept of every row.
 
     Two documents link if their sets of shingles have the similarity or more.
@@ -633,12 +651,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = np.array([set_words(m) for m in made], dtype=np.uint64).view(np.int64)
         ids = np.array([set_digest(m) for m in made], dtype=np.int64)
         sifts = np.array([parity(m) for m in made], dtype=np.int64).reshape(-1, PARITY)
-        columns = [ids[:, 0], ids[:, 1], bits[:, 0], bits[:, 1], *sifts.T]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "body_hash", "node", "twin", "w0", "w1", *odd])
+        sizes = np.array([len(m) for m in made], dtype=np.int64)
+        columns = [ids[:, 0], ids[:, 1], bits[:, 0], bits[:, 1], sizes, *sifts.T]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "body_hash", "node", "twin", "w0", "w1", "size", *odd])
 
-    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, twin long, w0 long, w1 long, " + ", ".join(f"{x} long" for x in odd)))
+    docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, twin long, w0 long, w1 long, size long, " + ", ".join(f"{x} long" for x in odd)))
     docs, numbers = told_apart(docs)
-    classes = cut(docs.select("node", "w0", "w1", *odd).dropDuplicates(["node"]))
+    classes = cut(docs.select("node", "w0", "w1", "size", *odd).dropDuplicates(["node"]))
     coarse = components(links(classes, 2, distance, further, bucket))
     coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
 
@@ -646,24 +665,26 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """node, hashes: what is made of the sets of the classes in nodes, and of a few more."""
         shared = df.sparkSession.sparkContext.broadcast(bloom_filter(nodes))
 
-        def sets(batch):
-            found = {}
-            for body in batch.column(0).to_pylist():
-                hashes = shingle_hashes(body, shingle)
-                found[numbers.of(hashes)] = hashes
-            nodes = np.array(list(found), np.int64)
-            hit = may_hold(shared.value, nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array([made(found[x]) for x in nodes[hit].tolist()], pa.binary())], names=["node", "hashes"])
-
-        return arrow_map(slim.select("body"), sets, "node long, hashes binary").dropDuplicates(["node"])
+        def sets(batches):
+            given: set[int] = set()
+            for batch in in_steps(batches):
+                found = {}
+                for body in batch.column(0).to_pylist():
+                    hashes = shingle_hashes(body, shingle)
+                    if (node := numbers.of(hashes)) not in given:
+                        found[node] = hashes
+                nodes = np.array(list(found), np.int64)
+                nodes = nodes[may_hold(shared.value, nodes)]
+                given.update(nodes.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([made(found[x]) for x in nodes.tolist()], pa.binary())], names=["node", "hashes"])
+
+        return slim.select("body").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
 
     held = held_sets(coarse.select("node"), lambda hashes: hashes.tobytes())
-    blocks = F.ceil(F.col("n") / most_sets).cast("int")
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.greatest(F.col("n") / most_sets, F.col("shingles") / most_shingles, F.lit(1.0))).cast("int")
+    sizes = coarse.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     dealt = coarse.join(cut(sizes), "component").withColumn("blocks", blocks)
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 20) + F.greatest(x, mine))
-    dealt = cut(dealt.select("node", "component", F.explode(meets).alias("block"))).join(held, "node")
+    dealt = cut(dealt.select("node", "component", F.explode(met_blocks("node", F.col("blocks"))).alias("block"))).join(held, "node")
     dealt = dealt.select("component", "block", "node", "hashes").repartition("component", "block").sortWithinPartitions("component", "block")
 
     def verify(batches):
@@ -686,7 +707,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = components(dealt.mapInArrow(verify, "a long, b long"))
     parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     groups = classes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *odd)
-    more = cut(sifted(missed_links(slim, groups, numbers, shingle, similarity), held_sets, similarity))
+    more = cut(sifted(missed_links(slim, groups, numbers, shingle, similarity, bucket=bucket), held_sets, similarity))
     if not more.isEmpty():
         judged = verified(more, cut(held_sets(ends(more), lambda hashes: hashes.tobytes())), similarity)
         parts = components(judged.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))

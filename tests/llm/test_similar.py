@@ -50,7 +50,7 @@ def test_all_documents_against_all_pairs(spark, small):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want, n = grouped(rows)
     assert n > 50
-    settings = {"bucket": 50, "most_sets": 2} if small else {}
+    settings = {"bucket": 50, "most_sets": 2, "most_shingles": 300} if small else {}
     got = {r.doc_id: (r.component_id, r.kept) for r in simhash.similar_groups(docs, **settings).collect()}
     assert {d: component for d, (component, _) in got.items()} == want
     assert all(kept == (d == component) for d, (component, kept) in got.items())
@@ -135,12 +135,15 @@ def near_threshold_rows(seed=11):
     return [(i, " ".join(x)) for i, x in enumerate(rows)]
 
 
-def test_no_pair_at_the_threshold_is_missed(spark):
+@pytest.mark.parametrize("settings", [{}, {"bucket": 1}])
+def test_no_pair_at_the_threshold_is_missed(spark, settings):
     rows = near_threshold_rows()
     want, n = grouped(rows)
     assert n == 600
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    copies = [(d + 10_000, text.upper()) for d, text in rows[::3]]
+    found = simhash.similar_groups(spark.createDataFrame(rows + copies, "doc_id long, text string"), **settings)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got == want | {d: want[d - 10_000] for d, _ in copies}
 
 
 def test_prefixes_of_similar_sets_meet():
