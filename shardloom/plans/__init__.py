@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from shardloom.plans import policies, registry  # noqa: F401  the first adds its queries to the second
+from shardloom.plans import policies, registry, spills  # noqa: F401  the other two add their queries to the registry
