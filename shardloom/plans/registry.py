@@ -362,8 +362,13 @@ SIZE_SQL = "CASE " + " ".join(f"WHEN n > {2 * u} THEN CAST(CAST(round(CAST(n AS
 
 @register("size_string", f"SELECT n, {SIZE_SQL} AS size FROM (SELECT DISTINCT o_orderkey * o_orderkey * o_orderkey AS n FROM orders)")
 def size_string(spark, sf_dir):
-    n = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select((n * n * n).alias("n")).distinct().withColumn("size", textual.size_string(F.col("n")))
+    """n is a long while every cube fits one, as in SQL, which fails beyond; then all are decimals, of up to 38 digits."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    n = F.col("k").cast("decimal(19,0)")
+    cube = (n * n * n).cast("decimal(38,0)")
+    most = orders.agg(F.max(F.abs("k"))).first()[0]
+    kind = "long" if (most or 0) ** 3 < 1 << 63 else "decimal(38,0)"
+    return orders.select(cube.cast(kind).alias("n")).distinct().withColumn("size", textual.size_string(F.col("n")))
 
 
 @register("host_port", r"SELECT a, CASE WHEN contains(a, ':') THEN trim(regexp_extract(a, '^(.*):[^:]*$', 1)) ELSE a END AS host, CASE WHEN contains(a, ':') THEN CAST(trim(regexp_extract(a, ':([^:]*)$', 1)) AS BIGINT) ELSE 0 END AS port FROM (SELECT DISTINCT split_part(split_part(url, '//', 2), '/', 1) || CASE WHEN page_id % 3 = 0 THEN '' ELSE ' : ' || CAST(page_id AS VARCHAR) END AS a FROM pages)")

@@ -110,3 +110,13 @@ def test_scopes_nest(spark):
     with policies.scope(spark, "outer"), policies.scope(spark, "inner") as label:
         assert label == '{"name": "inner", "parent": {"name": "outer"}}' == context.getLocalProperty("spark.rdd.scope")
     assert context.getLocalProperty("spark.rdd.scope") is None
+
+
+def test_sizes_beyond_a_long(spark, tmp_path):
+    """Cubes of keys as orders has at 60 times sf0.1; the column is a long as long as all of them fit."""
+    for name, keys in (("small", [3, 2_097_151, 3]), ("large", [3, 2_097_152, 8_999_999])):
+        spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+    small, large = (QUERIES["size_string"](spark, f"{tmp_path}/{name}") for name in ("small", "large"))
+    assert small.schema["n"].dataType.simpleString() == "bigint"
+    assert {r.n: r["size"] for r in small.collect()} == {27: "27.0 B", 2_097_151**3: "8.0 EB"}
+    assert {int(r.n): r["size"] for r in large.collect()} == {27: "27.0 B", 2**63: "8.0 EB", 8_999_999**3: "632.3 EB"}
