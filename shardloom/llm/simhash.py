@@ -187,9 +187,9 @@ def signatures(w: np.ndarray, plan: list[tuple[list[int], int]]) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that join two parts not joined before, in the order given."""
-    parent: dict[int, int] = {}
+def _forest(left: np.ndarray, right: np.ndarray, parent: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that join two parts not joined before, in the order given; parent holds what earlier calls joined."""
+    parent = {} if parent is None else parent
     kept = []
     for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
         while (up := parent.get(x, x)) != x:
@@ -355,7 +355,9 @@ DISTANCE, FURTHER = 6, 10
 #: Classes of a coarse group that stand in one block, and shingles that they hold, about; larger groups are verified as pairs of blocks.
 SETS, SET_SHINGLES = 1 << 9, 1 << 22
 #: Prefixes that hold a shingle from which on it comes after rarer ones, and such shingles that are told apart at most (16 MB).
-HEAVY, MOST_HEAVY = 32, 1 << 20
+HEAVY, MOST_HEAVY = 4, 1 << 20
+#: Classes whose links a task remembers; beyond it it begins anew and may give a link again.
+REMEMBERED = 1 << 20
 #: Words of parity bits by which candidates of prefixes are sifted; a power of two.
 PARITY = 4
 
@@ -517,8 +519,11 @@ def runs(batches):
 
 
 def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: int, least: float, heavy_from: int = HEAVY, bucket: int = BUCKET) -> DataFrame:
-    """a, b, sizes (of both sets): candidate pairs of classes of different groups, all that can have the similarity, by prefix filtering.
+    """a, b: links between classes, by prefix filtering; any two of different groups that can have the similarity hang together by them.
 
+    Copies with changes share hundreds of shingles, and each shingle would give all
+    pairs of them. A task gives a pair only if its two classes do not hang together
+    by the pairs that it gave before, so it makes fewer rows than it reads.
     A task gives the prefix of a class once, however many copies of it it reads,
     and a shingle in the prefixes of over `bucket` classes is dealt out as pairs of blocks.
 
@@ -575,12 +580,17 @@ def missed_links(slim: DataFrame, groups: DataFrame, numbers: Nodes, shingle: in
         repeated = repeated.join(full, "key", "left").select(F.explode(keys).alias("key"), "size", "node", "place")
     named = repeated.join(groups, "node").select("key", "size", "node", "component", "place", *words)
 
-    def pairs(batches):
+    def joins(batches):
+        parent: dict[int, int] = {}
         for rows in runs(batches):
-            for found in run_pairs(rows, least):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "sizes"])
+            if len(parent) > REMEMBERED:
+                parent = {}
+            for left, right, _ in run_pairs(rows, least):
+                left, right = _forest(left, right, parent)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
-    return cut(named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(pairs, "a long, b long, sizes long").distinct())
+    return named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(joins, "a long, b long")
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -596,50 +606,14 @@ def sketches_differ(mine: bytes, theirs: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    """node: the classes of pairs (a, b)."""
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-
-def joined(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs (a, b, others) with mine and theirs, what is held (node, hashes) of both."""
-    left = held.select(F.col("node").alias("a"), F.col("hashes").alias("mine"))
-    right = held.select(F.col("node").alias("b"), F.col("hashes").alias("theirs"))
-    return pairs.join(left, "a").join(right, "b").select("mine", "theirs", *pairs.columns)
-
-
-def sifted(pairs: DataFrame, held_sets: Callable, least: float) -> DataFrame:
-    """a, b: the pairs (a, b, sizes) whose sketches do not show that they are less similar; no similar pair is left out."""
-
-    def over(batch):
-        mine, theirs, sizes = (batch.column(k).to_pylist() for k in (0, 1, 4))
-        ok = pa.array([sketches_differ(x, y) <= n * (1 - least) / (1 + least) + 1e-9 for x, y, n in zip(mine, theirs, sizes, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (2, 3)], names=["a", "b"])
-
-    return arrow_map(joined(pairs, cut(held_sets(ends(pairs), sketch))), over, "a long, b long")
-
-
-def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """a, b: the pairs whose sets (node, hashes) have the similarity."""
-
-    def over(batch):
-        ok = []
-        for mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (2, 3)], names=["a", "b"])
-
-    return arrow_map(joined(pairs, held), over, "a long, b long")
-
-
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, further: int = FURTHER, bucket: int = BUCKET, most_sets: int = SETS, most_shingles: int = SET_SHINGLES) -> DataFrame:
     """doc_id, body_hash (xxhash64 of the text), component_id, kept of every row.
 
     Two documents link if their sets of shingles have the similarity or more.
     Most are found by fingerprints of two words, in coarse groups that may
     hold less similar ones; within a coarse group sets are compared in full.
-    Prefix filtering finds every pair that is left, whatever its fingerprints.
+    Prefix filtering joins every pair that is left, whatever its fingerprints, in
+    further groups, within which sets are compared in full as well.
     Of a group the row with the smallest (identifier, text hash) is kept.
     """
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("body"), F.xxhash64(raw(text_col)).alias("body_hash"))
@@ -658,11 +632,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = cut(arrow_map(slim, marks, "doc_id long, body_hash long, node long, twin long, w0 long, w1 long, size long, " + ", ".join(f"{x} long" for x in odd)))
     docs, numbers = told_apart(docs)
     classes = cut(docs.select("node", "w0", "w1", "size", *odd).dropDuplicates(["node"]))
-    coarse = components(links(classes, 2, distance, further, bucket))
-    coarse = cut(coarse.union(coarse.select(F.col("component").alias("node"), "component").distinct()))
 
-    def held_sets(nodes, made):
-        """node, hashes: what is made of the sets of the classes in nodes, and of a few more."""
+    def held_sets(nodes):
+        """node, hashes: the sets of the classes in nodes, and of a few more."""
         shared = df.sparkSession.sparkContext.broadcast(bloom_filter(nodes))
 
         def sets(batches):
@@ -676,16 +648,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 nodes = np.array(list(found), np.int64)
                 nodes = nodes[may_hold(shared.value, nodes)]
                 given.update(nodes.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([made(found[x]) for x in nodes.tolist()], pa.binary())], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([found[x].tobytes() for x in nodes.tolist()], pa.binary())], names=["node", "hashes"])
 
         return slim.select("body").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
 
-    held = held_sets(coarse.select("node"), lambda hashes: hashes.tobytes())
-    blocks = F.ceil(F.greatest(F.col("n") / most_sets, F.col("shingles") / most_shingles, F.lit(1.0))).cast("int")
-    sizes = coarse.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    dealt = coarse.join(cut(sizes), "component").withColumn("blocks", blocks)
-    dealt = cut(dealt.select("node", "component", F.explode(met_blocks("node", F.col("blocks"))).alias("block"))).join(held, "node")
-    dealt = dealt.select("component", "block", "node", "hashes").repartition("component", "block").sortWithinPartitions("component", "block")
+    def within(groups):
+        """a, b: verified links between the classes of each group (node, component) that hold what is similar in it together."""
+        blocks = F.ceil(F.greatest(F.col("n") / most_sets, F.col("shingles") / most_shingles, F.lit(1.0))).cast("int")
+        sizes = groups.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        dealt = groups.join(cut(sizes), "component").withColumn("blocks", blocks)
+        dealt = cut(dealt.select("node", "component", F.explode(met_blocks("node", F.col("blocks"))).alias("block"))).join(held_sets(groups.select("node")), "node")
+        dealt = dealt.select("component", "block", "node", "hashes").repartition("component", "block").sortWithinPartitions("component", "block")
+        return dealt.mapInArrow(verify, "a long, b long")
+
+    def whole(found):
+        """node, component of all nodes of components(found), those too that are the smallest of theirs."""
+        return cut(found.union(found.select(F.col("component").alias("node"), "component").distinct()))
 
     def verify(batches):
         key, node, own = None, [], []
@@ -704,14 +682,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own.append(np.frombuffer(hashes, "<u8"))
         yield from found()
 
-    parts = components(dealt.mapInArrow(verify, "a long, b long"))
-    parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
+    coarse = whole(components(links(classes, 2, distance, further, bucket)))
+    parts = whole(components(within(coarse)))
     groups = classes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *odd)
-    more = cut(sifted(missed_links(slim, groups, numbers, shingle, similarity, bucket=bucket), held_sets, similarity))
+    more = whole(components(missed_links(slim, groups, numbers, shingle, similarity, bucket=bucket)))
     if not more.isEmpty():
-        judged = verified(more, cut(held_sets(ends(more), lambda hashes: hashes.tobytes())), similarity)
-        parts = components(judged.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        parts = cut(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
+        judged = within(more)
+        parts = whole(components(judged.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))))
     rows = docs.select("doc_id", "body_hash", "node").join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))
     rows = cut(rows.select("doc_id", "body_hash", "group"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("body_hash"))

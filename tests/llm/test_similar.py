@@ -160,3 +160,23 @@ def test_prefixes_of_similar_sets_meet():
         rows = sorted((k, len(s), node, node, place, *simhash.parity(s).tolist()) for node, s, p in ((0, x, a), (1, y, b)) for place, k in enumerate(p))
         assert set(a) & set(b)
         assert any(len(u) for u, _, _ in simhash.run_pairs(np.array(rows, np.int64), 0.8))
+
+
+def test_copies_that_differ_too_much_make_few_candidates(spark):
+    """Sixty texts share all shingles that their prefixes begin with, but no two are similar; candidates grow as the texts, not as their pairs."""
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common = words(900)
+    rows = [(i, " ".join(common + words(240))) for i in range(60)]
+    slim = spark.createDataFrame([(bytearray(t.encode()),) for _, t in rows], "body binary").repartition(3)
+    made = [simhash.shingle_hashes(t.encode(), 5) for _, t in rows]
+    groups = [(simhash.set_digest(m)[0], simhash.set_digest(m)[0], *simhash.parity(m).tolist()) for m in made]
+    columns = "node long, component long, " + ", ".join(f"p{k} long" for k in range(simhash.PARITY))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        got = simhash.missed_links(slim, spark.createDataFrame(groups, columns), simhash.Nodes({}), 5, 0.8).select("a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {x for r in got for x in r} == {g[0] for g in groups}
+    assert len(got) <= 4 * 59 < 60 * 59 // 2
