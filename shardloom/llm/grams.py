@@ -108,22 +108,6 @@ def key_of(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (hashes ^ seeds) * np.uint64(KEY_FACTOR)
 
 
-def keys_of_grams(grams: list[str], groups: list[int], order: int) -> np.ndarray:
-    """The keys of grams given as texts, each of its own length and group."""
-    points, lengths = code_points(grams)
-    out = np.zeros(len(grams), np.uint64)
-    seeds = {g: seeds_of(g, order) for g in set(groups)}
-    own_seeds = np.array([seeds[g][n - 1] for g, n in zip(groups, lengths.tolist(), strict=True)], np.uint64)
-    begin = np.cumsum(lengths) - lengths
-    for n in np.unique(lengths).tolist():
-        rows = np.flatnonzero(lengths == n)
-        hashes = np.zeros(len(rows), np.uint64)
-        for i in range(n):
-            hashes = hashes * np.uint64(GRAM_FACTOR) + _point_hashes()[points[begin[rows] + i]]
-        out[rows] = key_of(hashes, own_seeds[rows])
-    return out
-
-
 class Table:
     """Keys with weights at one of PROBES places each; keys that find no free place are left over."""
 

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney models of symbol grams, counted and joined by gram.
+"""Interpolated modified Kneser-Ney models of symbol grams, counted and weighed by shard.
 
 The highest order counts occurrences, each lower order the number of distinct
 symbols seen before the gram. With three discounts D(c) for each order, taken
@@ -16,6 +16,12 @@ the last term being 0 if nothing follows g, and of one constant a symbol. That
 is what lets scores be joined by gram and added up by document in any order.
 Every text ends in a symbol that nothing follows, and begins after pads that are
 given, not predicted.
+
+All grams that have the same two symbols before their last one stand in one row,
+as numbers of 21 bits a symbol. Their contexts and their suffixes of three
+symbols and more stand in that row too, so it has all counts, totals and
+probabilities of these orders, but for those of two symbols and one. Of these
+there are no more than pairs of characters; they are worked out in the driver.
 """
 
 from __future__ import annotations
@@ -25,71 +31,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.llm import grams
-from shardloom.llm.common import arrow_map, cut
+from shardloom.llm.common import cut, in_steps, let_workers_import
+from shardloom.llm.simhash import runs
 
 #: Symbols that the lowest order is uniform over.
 UNIFORM = 1 << 20
+#: Bits of a symbol, and gram occurrences that a task adds up before it sends them.
+BITS, HELD = 21, 1 << 21
+ONE = (1 << BITS) - 1
+
+
+def counted(texts: DataFrame, names: list[str], order: int) -> DataFrame:
+    """key (group's number and two symbols), grams, n: one row a key, the grams of the highest order that have these symbols before their last one, as the symbols before and the last one, and how often each occurs.
 
+    texts: a group's name and a text.
+    """
+    number = {g: i for i, g in enumerate(names)}
 
-def counted(texts: DataFrame, group: str, text: str, order: int) -> DataFrame:
-    """grp, gram, c: the grams of the highest order of every group's texts, added up by gram."""
+    def added(parts):
+        key, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, n = np.unique(grams.mixed(grams.mixed(key.view(np.uint64)) ^ gram.view(np.uint64)), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(gram[first]), pa.array(n.astype(np.int64))], names=["key", "gram", "n"])
 
-    def over(batch):
-        names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for name in sorted(set(names)):
-            run, sizes = grams.symbols([b or "" for n, b in zip(names, bodies, strict=True) if n == name], order)
-            hashes = list(grams.gram_keys(run, order))[-1][1]
+    def over(batches):
+        held, size = [], 0
+        for batch in in_steps(batches):
+            run, sizes = grams.symbols([b or "" for b in batch.column(1).to_pylist()], order)
+            group = np.repeat(np.array([number[g] for g in batch.column(0).to_pylist()], np.int64), sizes)
             inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = np.flatnonzero(inside >= order - 1)
-            _, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
-            windows = run[at[first][:, None] + np.arange(1 - order, 1)]
-            whole = windows.astype("<u4").tobytes().decode("utf-32-le")
-            rows = [whole[i : i + order] for i in range(0, len(whole), order)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(rows), pa.array(n.astype(np.int64))], names=["grp", "gram", "c"])
-
-    rows = arrow_map(texts.select(F.col(group).alias("grp"), F.col(text).alias("text")), over, "grp string, gram string, c long")
-    return rows.groupBy("grp", "gram").agg(F.sum("c").alias("c"))
-
-
-def _discounts(levels: DataFrame) -> DataFrame:
-    """grp, k, d1, d2, d3: `order` rows a group."""
-    n = {j: F.count_if(F.col("c") == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)}
-    found = levels.groupBy("grp", "k").agg(*n.values())
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-
-    def discount(j):
-        own, up = F.col(f"n{j}"), F.col(f"n{j + 1}")
-        plain = F.when(own > 0, j - (j + 1) * y * up / own).otherwise(0.5 * j)
-        return F.least(F.greatest(plain, F.lit(0.05)), F.lit(j - 0.05)).alias(f"d{j}")
-
-    return found.select("grp", "k", *[discount(j) for j in (1, 2, 3)])
-
-
-def weights(texts: DataFrame, group: str = "grp", text: str = "text", order: int = 5) -> DataFrame:
-    """grp, gram, k (order), c, weight of every gram and context of the groups' models; the empty gram has the constant of a symbol."""
-    top = cut(counted(texts, group, text, order))
-    tails = F.transform(F.sequence(F.lit(2), F.lit(order)), lambda n: F.substring(F.col("gram"), order + 1 - n, n))
-    lower = top.select("grp", F.explode(tails).alias("gram")).distinct()
-    lower = lower.groupBy("grp", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
-    levels = cut(top.union(lower).withColumn("k", F.char_length("gram")))
-    discount = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
-    rows = levels.join(F.broadcast(_discounts(levels)), ["grp", "k"]).select("grp", "gram", "k", "c", discount.alias("d"), F.expr("left(gram, k - 1)").alias("context"))
-    contexts = rows.groupBy("grp", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("lam"))
-    contexts = cut(contexts)
-    each = rows.join(contexts, ["grp", "context"]).select("grp", "gram", "k", "c", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), "lam")
-    each = cut(each)
-    # every gram's suffixes are grams of the model too: one join for each lower order
-    rows = each.withColumn("p", F.lit(1.0 / UNIFORM)).withColumn("below", F.lit(1.0))
-    for n in range(1, order + 1):
-        if n < order:
-            suffix = each.filter(F.col("k") == n).select("grp", F.col("gram").alias("suffix"), F.col("own").alias(f"own{n}"), F.col("lam").alias(f"lam{n}"))
-            rows = rows.withColumn("suffix", F.expr(f"right(gram, {n})")).join(suffix, ["grp", "suffix"], "left").drop("suffix")
-        own, lam = (F.col(c if n == order else f"{c}{n}") for c in ("own", "lam"))
-        rows = rows.withColumn("below", F.when(F.col("k") >= n, lam * F.col("p")).otherwise(F.col("below")))
-        rows = rows.withColumn("p", F.when(F.col("k") >= n, own + F.col("below")).otherwise(F.col("p")))
-    found = rows.select("grp", "gram", "k", "c", F.log(F.col("p") / F.col("below")).alias("seen"))
-    follow = contexts.select("grp", F.col("context").alias("gram"), F.log("lam").alias("follow"))
-    whole = found.join(follow, ["grp", "gram"], "full")
-    constant = F.when(F.col("gram") == "", F.lit(-float(np.log(UNIFORM)))).otherwise(0.0)
-    weight = F.coalesce("seen", F.lit(0.0)) + F.coalesce("follow", F.lit(0.0)) + constant
-    return whole.select("grp", "gram", F.char_length("gram").alias("k"), F.coalesce("c", F.lit(0)).alias("c"), weight.alias("weight"))
+            run = run.astype(np.int64)
+            gram = np.zeros(len(at), np.int64)
+            for back in (*range(order - 1, 2, -1), 0):
+                gram = gram << BITS | run[at - back]
+            held.append((group[at] << 2 * BITS | run[at - 2] << BITS | run[at - 1], gram))
+            size += len(at)
+            if size > HELD:
+                yield from added(held)
+                held, size = [], 0
+        if size:
+            yield from added(held)
+
+    def one_row(batches):
+        for rows in runs(batches):
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            n = np.add.reduceat(rows[:, 2], first)
+            key, gram = rows[first, 0], np.ascontiguousarray(rows[first, 1])
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            upto = pa.array(np.append(begin, len(key)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.ListArray.from_arrays(upto, pa.array(gram)), pa.ListArray.from_arrays(upto, pa.array(n))], names=["key", "grams", "n"])
+
+    let_workers_import(texts.sparkSession)
+    parts = texts.mapInArrow(over, "key long, gram long, n long")
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(one_row, "key long, grams array<long>, n array<long>")
+
+
+class Levels:
+    """The grams of rows of counted, for each order k from the highest down to 3: at[k] their row, gram[k] their symbols but the row's two, c[k] their counts, up[k] the places of their suffixes in order k - 1."""
+
+    def __init__(self, batch: pa.RecordBatch, order: int):
+        self.key = batch.column(0).to_numpy()
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        at, gram, c = np.repeat(np.arange(len(sizes)), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        self.at, self.gram, self.c, self.up = {order: at}, {order: gram}, {order: c}, {}
+        for k in range(order, 3, -1):
+            tail = gram & ((1 << BITS * (k - 3)) - 1)
+            by = np.lexsort((tail, at))
+            new = np.append(True, (at[by][1:] != at[by][:-1]) | (tail[by][1:] != tail[by][:-1]))[: len(by)]
+            self.up[k] = np.empty(len(by), np.int64)
+            self.up[k][by] = np.cumsum(new) - 1
+            at, gram, c = at[by][new], tail[by][new], np.bincount(self.up[k])
+            self.at[k - 1], self.gram[k - 1], self.c[k - 1] = at, gram, c
+        self.group = self.key >> 2 * BITS
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """D(1), D(2) and D(3 and more) in columns 1 to 3; n: how many grams occur 1, 2, 3 and 4 times, in columns 1 to 4."""
+    n = n.astype(np.float64)
+    out = np.zeros((len(n), 4))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = np.where(n[:, 1] > 0, n[:, 1] / (n[:, 1] + 2 * n[:, 2]), 0.5)
+        for j in (1, 2, 3):
+            plain = np.where(n[:, j] > 0, j - (j + 1) * y * n[:, j + 1] / n[:, j], 0.5 * j)
+            out[:, j] = np.clip(plain, 0.05, j - 0.05)
+    return out
+
+
+def _shares(c: np.ndarray, d: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each gram has of its context's total by itself, and what each context leaves to the lower order."""
+    total = np.maximum(np.bincount(context, c, contexts), 1)  # contexts without grams are not asked for
+    return (c - d) / total[context], np.bincount(context, d, contexts) / total
+
+
+def _keys(symbols: list[np.ndarray], seeds: np.ndarray) -> pa.Array:
+    """The keys of grams, given symbol by symbol, under the seeds of their groups and order."""
+    hashes = np.zeros(len(seeds), np.uint64)
+    for x in symbols:
+        hashes = hashes * np.uint64(grams.GRAM_FACTOR) + grams._point_hashes()[x]
+    return pa.array(grams.key_of(hashes, seeds).view(np.int64))
+
+
+def _rows(key: pa.Array, k: int, c: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, pa.array(np.full(len(c), k, np.int32)), pa.array(c.astype(np.int64)), pa.array(weight)], names=["key", "k", "c", "weight"])
+
+
+def _symbols(packed: np.ndarray, n: int) -> list[np.ndarray]:
+    return [packed >> BITS * (n - 1 - i) & ONE for i in range(n)]
+
+
+def weights(texts: DataFrame, names: list[str], seeds: np.ndarray, order: int = 5) -> tuple[DataFrame, dict[str, float]]:
+    """key, k (order), c, weight of every gram and context of the groups' models; and the constant of a symbol of each group that has texts.
+
+    texts: a group's name and a text; seeds: one row a name, one column an order.
+    """
+    if order not in (3, 4, 5):
+        raise ValueError("grams have 3 to 5 symbols")
+    spark = texts.sparkSession
+    top = cut(counted(texts, names, order))
+
+    def told(batches):
+        for batch in in_steps(batches):
+            own = Levels(batch, order)
+            pairs = (own.key[own.at[3]] >> 2 * BITS << 2 * BITS) | ((own.key[own.at[3]] & ONE) << BITS) | own.gram[3]
+            kind, code = [np.full(len(pairs), 2)], [pairs]
+            for k in range(3, order + 1):
+                few = own.c[k] <= 4
+                code.append(own.group[own.at[k]][few] * 8 + own.c[k][few])
+                kind.append(np.full(len(code[-1]), k))
+            found, n = np.unique(np.stack([np.concatenate(kind), np.concatenate(code)], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), pa.array(n.astype(np.int64))], names=["kind", "code", "n"])
+
+    found = top.mapInArrow(told, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).orderBy("kind", "code").toArrow()
+    kind, code, n = (found.column(i).to_numpy() for i in range(3))
+    times = np.zeros((order + 1, len(names), 5), np.int64)
+    for k in range(3, order + 1):
+        times[k, code[kind == k] // 8, code[kind == k] % 8] = n[kind == k]
+
+    # orders 2 and 1
+    pair, c2 = code[kind == 2], n[kind == 2]
+    of2 = pair >> 2 * BITS
+    single, up, c1 = np.unique(of2 << BITS | pair & ONE, return_inverse=True, return_counts=True)
+    of1 = single >> BITS
+    for k, of, c in ((2, of2, c2), (1, of1, c1)):
+        np.add.at(times[k], (of[c <= 4], c[c <= 4]), 1)
+    cut_by = np.stack([discounts(x) for x in times])
+    before, context = np.unique(pair >> BITS, return_inverse=True)
+    own1, lam1 = _shares(c1, cut_by[1][of1, np.minimum(c1, 3)], of1, len(names)) if len(c1) else (np.zeros(0), np.zeros(len(names)))
+    own2, lam2 = _shares(c2, cut_by[2][of2, np.minimum(c2, 3)], context, len(before))
+    p1 = own1 + lam1[of1] / UNIFORM
+    p2 = own2 + lam2[context] * p1[up]
+    of_before = before >> BITS
+    small = pa.Table.from_batches([
+        _rows(_keys(_symbols(single, 1), seeds[of1, 0]), 1, c1, np.log(p1 / (lam1[of1] / UNIFORM))),
+        _rows(_keys(_symbols(pair, 2), seeds[of2, 1]), 2, c2, np.log(p2 / (lam2[context] * p1[up]))),
+        _rows(_keys(_symbols(before, 1), seeds[of_before, 0]), 1, np.zeros(len(before)), np.log(lam2)),
+    ])
+    bases = {names[g]: float(np.log(lam1[g]) - np.log(UNIFORM)) for g in np.unique(of1).tolist()}
+    shared = spark.sparkContext.broadcast((pair, p2))
+
+    def weighed(batches):
+        pair, p2 = shared.value
+        for batch in in_steps(batches):
+            own = Levels(batch, order)
+            two = _symbols(own.key, 2)
+            below = p2[np.searchsorted(pair, (own.group[own.at[3]] << 2 * BITS) | ((own.key[own.at[3]] & ONE) << BITS) | own.gram[3])]
+            for k in range(3, order + 1):
+                at, gram, c = own.at[k], own.gram[k], own.c[k]
+                by = np.lexsort((gram >> BITS, at))
+                new = np.append(True, (at[by][1:] != at[by][:-1]) | (gram[by][1:] >> BITS != gram[by][:-1] >> BITS))[: len(by)]
+                context = np.empty(len(by), np.int64)
+                context[by] = np.cumsum(new) - 1
+                some = by[new]
+                share, lam = _shares(c, cut_by[k][own.group[at], np.minimum(c, 3)], context, len(some))
+                lower = lam[context] * (below if k == 3 else below[own.up[k]])
+                p = share + lower
+                symbols = _symbols(gram, k - 2)
+                yield _rows(_keys([*symbols[:-1], *(x[at] for x in two), symbols[-1]], seeds[own.group[at], k - 1]), k, c, np.log(p / lower))
+                first = [x[some] for x in symbols[:-1]]
+                yield _rows(_keys([*first, *(x[at[some]] for x in two)], seeds[own.group[at[some]], k - 2]), k - 1, np.zeros(len(some)), np.log(lam))
+                below = p
+
+    each = cut(top.mapInArrow(weighed, "key long, k int, c long, weight double"))
+    # a gram and the context that it is stand in different rows
+    lower = each.filter(F.col("k") < order).union(spark.createDataFrame(small, "key long, k int, c long, weight double"))
+    lower = cut(lower.groupBy("key", "k").agg(F.sum("c").alias("c"), F.sum("weight").alias("weight")))
+    return each.filter(F.col("k") == order).union(lower.select("key", "k", "c", "weight")), bases

@@ -1,15 +1,13 @@
 """Quality classifier: perplexity under n-gram models of trusted text.
 
-A bounded sample of trusted rows is drawn in turn from all languages, so that
-small languages are in it too. Each language has an interpolated modified
-Kneser-Ney model of its own, trained on one half of its rows; the other half,
-which the model has not seen, gives the language's quantile of perplexity, and
-documents above it are rejected. Symbols are characters of any script; white
+All rows that the labels trust are used. Each language has an interpolated
+modified Kneser-Ney model of its own, trained on one half of its rows; the other
+half, which the model has not seen, gives the language's quantile of perplexity,
+and documents above it are rejected. Symbols are characters of any script; white
 space is one symbol, or another one before a word that repeats the word before
 it, so that text which repeats itself is not mistaken for likely text.
 
-Counts, contexts and probabilities are joined by gram in Spark, and so are the
-scores: a document's log probability is a sum over its grams of their weights.
+Grams are counted and weighed by shard, and scores are joined by gram in Spark: a document's log probability is a sum over its grams of their weights.
 The HEAD most frequent grams go to every task and are added up where a text is
 read, so the join is spared the grams that nearly all documents share; the rest
 of the model stays sharded by gram, and a document's grams that a bloom filter
@@ -35,8 +33,10 @@ from shardloom.llm import grams, kneser_ney
 from shardloom.llm.bloom import bloom_filter, may_hold
 from shardloom.llm.common import arrow_map, cut
 
-#: Trusted rows that the models and the thresholds are fitted on, at most, over all languages.
-TRUSTED = 20_000
+#: Trusted rows that the models and the thresholds are fitted on, at most, over all languages; None: all.
+TRUSTED = None
+#: Identifiers of trusted rows that go to every task, at most (8 MB); more are joined by a shuffle of the texts.
+SENT = 1 << 20
 #: Quantile of held-out trusted perplexity above which a document is rejected.
 QUANTILE = 0.998
 #: Rows that either half of a language's sample needs for a model of its own.
@@ -125,16 +125,21 @@ def _losses(rows: DataFrame, model: Model) -> DataFrame:
     return ready.select(*others, "__n", loss).union(joined.select(*others, "__n", loss))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, lang, held (0 or 1) of at most `most` documents labelled quality 1, as many of each language as there are."""
+def _sample(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, text, lang, held (0 or 1) of the documents labelled quality 1; of at most `most` where a caller asks for fewer, as many of each language as there are."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     turn = F.xxhash64("doc_id", F.lit("trusted"))
+    docs, held = docs.select("doc_id", "text", "lang"), F.pmod(F.shiftright(turn, 7), F.lit(2)).alias("held")
+    if most is None:
+        good = cut(good)
+        few = good.count() <= SENT
+        return docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi").select("doc_id", "text", "lang", held)
     known = docs.select("doc_id", "lang").join(good, "doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(turn, "doc_id"))
     known = known.withColumn("place", place).filter(F.col("place") <= most)
     chosen = known.orderBy("place", turn, "doc_id", "lang").limit(most).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
     same = (F.col("doc_id") == F.col("id")) & F.col("lang").eqNullSafe(F.col("of"))
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), same).select("doc_id", "text", "lang", F.pmod(F.shiftright(turn, 7), F.lit(2)).alias("held"))
+    return docs.join(F.broadcast(chosen), same).select("doc_id", "text", "lang", held)
 
 
 def _sharded(model: Model, table: DataFrame, head: int) -> None:
@@ -164,24 +169,16 @@ def _sharded(model: Model, table: DataFrame, head: int) -> None:
         model.tail, model.filter = rest, bloom_filter(rest.select("key"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE, order: int = ORDER, fewest: int = FEWEST, head: int = HEAD) -> Model:
-    """The models and thresholds from at most `most` rows labelled quality 1."""
+def fit(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, quantile: float = QUANTILE, order: int = ORDER, fewest: int = FEWEST, head: int = HEAD) -> Model:
+    """The models and thresholds from all rows labelled quality 1, or from at most `most` of them."""
     sample = cut(_sample(docs, labels, most))
     halves = sample.groupBy("lang").agg(F.count_if(F.col("held") == 0).alias("train"), F.count_if(F.col("held") == 1).alias("test"))
     enough = (F.col("lang") != "") & (F.least("train", "test") >= fewest)
-    model = Model(sorted(r["lang"] for r in halves.filter(enough).collect()), order)  # at most most / fewest names
+    model = Model(sorted(r["lang"] for r in halves.filter(enough).collect()), order)  # names of languages
     rows = sample.select(F.col("text").alias("__text"), model.group_of(F.col("lang")).alias("__group"), "held")
-    weights = cut(kneser_ney.weights(rows.filter("held = 0"), "__group", "__text", order))
-    model.bases = {r["grp"]: r["weight"] for r in weights.filter("gram = ''").collect()}
-
-    def keyed(batch):
-        groups, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        numbers = {g: _group_number(g) for g in set(groups)}
-        keys = grams.keys_of_grams(names, [numbers[g] for g in groups], order)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[2:]], names=["key", "k", "c", "weight"])
-
-    table = arrow_map(weights.filter("gram != ''").select("grp", "gram", "k", "c", "weight"), keyed, "key long, k int, c long, weight double", 10_000)
-    _sharded(model, cut(table), head)
+    names = ["", *model.groups]
+    weights, model.bases = kneser_ney.weights(rows.filter("held = 0").select("__group", "__text"), names, np.stack([_seeds(g, order) for g in names]), order)
+    _sharded(model, weights, head)
     held = _losses(rows.filter("held = 1").select("__text", "__group"), model).filter("__n > 0")
     limits = held.groupBy("__group").agg(F.percentile("__loss", quantile).alias("limit"), F.count("*").alias("n"))
     model.thresholds = {r["__group"]: r["limit"] for r in limits.collect() if r["n"] >= fewest}

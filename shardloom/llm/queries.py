@@ -21,7 +21,7 @@ def lm_scoring(spark, sf_dir):
 
 
 def quality_classifier(spark, sf_dir):
-    """Judges all documents by a model fitted on a bounded sample of the documents labelled good."""
+    """Judges all documents by models fitted on all documents labelled good."""
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
 

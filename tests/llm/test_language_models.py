@@ -260,3 +260,16 @@ def test_quality_query_against_dictionaries(spark):
         loss = plain.loss(texts[r.doc_id])
         assert math.log(r.perplexity) == pytest.approx(loss, abs=1e-6)
         assert r.kept == (limit is None or loss <= limit)
+
+
+def test_classifier_is_fitted_on_all_trusted_rows(spark, monkeypatch):
+    """More rows than any bound on them that there was; all train or are held out."""
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("tree "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    halves = {r.held: r["count"] for r in quality._sample(docs, labels, quality.TRUSTED).groupBy("held").count().collect()}
+    assert sum(halves.values()) == 20_500
+    seen = []
+    real = kneser_ney.weights
+    monkeypatch.setattr(kneser_ney, "weights", lambda texts, *rest: seen.append(texts.count()) or real(texts, *rest))
+    model = quality.fit(docs, labels)
+    assert seen == [halves[0]] and model.groups == ["aa"] and set(model.thresholds) == {"aa"}
