@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardloom.sources.tables import cut, let_workers_import, table  # noqa: F401  one place to import from
+from shardloom.sources.tables import cut, let_workers_import, passing, table  # noqa: F401  one place to import from
 
 #: The white space that the contracts name: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"

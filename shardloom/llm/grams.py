@@ -109,27 +109,41 @@ def key_of(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Keys with weights at one of PROBES places each; keys that find no free place are left over."""
+    """Keys with weights at one of PROBES places each; keys that find no free place are left over.
 
-    PROBES = 3
+    Keys are placed in LOTS lots, so those that come first are the last to be left over.
+    """
+
+    PROBES, LOTS = 3, 16
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bits: int):
         self.bits = bits
         self.keys, self.weights = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float64)
-        left = np.flatnonzero(keys != 0)
-        zero = np.flatnonzero(keys == 0)
-        for probe in range(self.PROBES):
-            at = self._places(keys[left], probe)
-            free = self.keys[at] == 0
-            _, first = np.unique(at[free], return_index=True)
-            chosen = np.flatnonzero(free)[first]
-            self.keys[at[chosen]] = keys[left[chosen]]
-            self.weights[at[chosen]] = weights[left[chosen]]
-            left = np.delete(left, chosen)
-        self.left_over = np.concatenate([left, zero])
+        over = [np.flatnonzero(keys == 0)]
+        for left in np.array_split(np.flatnonzero(keys != 0), self.LOTS):
+            for probe in range(self.PROBES):
+                at = self._places(keys[left], probe)
+                free = self.keys[at] == 0
+                _, first = np.unique(at[free], return_index=True)
+                chosen = np.flatnonzero(free)[first]
+                self.keys[at[chosen]] = keys[left[chosen]]
+                self.weights[at[chosen]] = weights[left[chosen]]
+                left = np.delete(left, chosen)
+            over.append(left)
+        self.left_over = np.concatenate(over)
+
+    def __getstate__(self):
+        """Without the free places, so that what is sent follows the keys."""
+        at = np.flatnonzero(self.keys)
+        return self.bits, self.left_over, at.astype(np.uint32), self.keys[at], self.weights[at]
+
+    def __setstate__(self, state):
+        self.bits, self.left_over, at, keys, weights = state
+        self.keys, self.weights = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float64)
+        self.keys[at], self.weights[at] = keys, weights
 
     def _places(self, keys: np.ndarray, probe: int) -> np.ndarray:
-        return ((keys >> np.uint64((44, 23, 2)[probe])) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        return ((keys >> np.uint64((min(44, 64 - self.bits), 23, 2)[probe])) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, 0 where a key is not held; the places of those keys)."""

@@ -88,13 +88,13 @@ def counted(texts: DataFrame, names: list[str], order: int) -> DataFrame:
 
 
 class Levels:
-    """The grams of rows of counted, for each order k from the highest down to 3: at[k] their row, gram[k] their symbols but the row's two, c[k] their counts, up[k] the places of their suffixes in order k - 1."""
+    """The grams of rows of counted, for each order k from the highest down to 3: at[k] their row, gram[k] their symbols but the row's two, c[k] their counts, n[k] how often they occur, up[k] the places of their suffixes in order k - 1."""
 
     def __init__(self, batch: pa.RecordBatch, order: int):
         self.key = batch.column(0).to_numpy()
         sizes = np.diff(batch.column(1).offsets.to_numpy())
         at, gram, c = np.repeat(np.arange(len(sizes)), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-        self.at, self.gram, self.c, self.up = {order: at}, {order: gram}, {order: c}, {}
+        self.at, self.gram, self.c, self.n, self.up = {order: at}, {order: gram}, {order: c}, {order: c}, {}
         for k in range(order, 3, -1):
             tail = gram & ((1 << BITS * (k - 3)) - 1)
             by = np.lexsort((tail, at))
@@ -103,6 +103,7 @@ class Levels:
             self.up[k][by] = np.cumsum(new) - 1
             at, gram, c = at[by][new], tail[by][new], np.bincount(self.up[k])
             self.at[k - 1], self.gram[k - 1], self.c[k - 1] = at, gram, c
+            self.n[k - 1] = np.bincount(self.up[k], self.n[k]).astype(np.int64)
         self.group = self.key >> 2 * BITS
 
 
@@ -132,8 +133,8 @@ def _keys(symbols: list[np.ndarray], seeds: np.ndarray) -> pa.Array:
     return pa.array(grams.key_of(hashes, seeds).view(np.int64))
 
 
-def _rows(key: pa.Array, k: int, c: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([key, pa.array(np.full(len(c), k, np.int32)), pa.array(c.astype(np.int64)), pa.array(weight)], names=["key", "k", "c", "weight"])
+def _rows(key: pa.Array, k: int, n: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64)), pa.array(weight)], names=["key", "k", "n", "weight"])
 
 
 def _symbols(packed: np.ndarray, n: int) -> list[np.ndarray]:
@@ -141,7 +142,7 @@ def _symbols(packed: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def weights(texts: DataFrame, names: list[str], seeds: np.ndarray, order: int = 5) -> tuple[DataFrame, dict[str, float]]:
-    """key, k (order), c, weight of every gram and context of the groups' models; and the constant of a symbol of each group that has texts.
+    """key, k (order), n (how often it occurs), weight of every gram and context of the groups' models; and the constant of a symbol of each group that has texts.
 
     texts: a group's name and a text; seeds: one row a name, one column an order.
     """
@@ -154,22 +155,23 @@ def weights(texts: DataFrame, names: list[str], seeds: np.ndarray, order: int =
         for batch in in_steps(batches):
             own = Levels(batch, order)
             pairs = (own.key[own.at[3]] >> 2 * BITS << 2 * BITS) | ((own.key[own.at[3]] & ONE) << BITS) | own.gram[3]
-            kind, code = [np.full(len(pairs), 2)], [pairs]
+            kind, code, often = [np.full(len(pairs), 2)], [pairs], own.n[3]
             for k in range(3, order + 1):
                 few = own.c[k] <= 4
                 code.append(own.group[own.at[k]][few] * 8 + own.c[k][few])
                 kind.append(np.full(len(code[-1]), k))
-            found, n = np.unique(np.stack([np.concatenate(kind), np.concatenate(code)], axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), pa.array(n.astype(np.int64))], names=["kind", "code", "n"])
+            found, of, n = np.unique(np.stack([np.concatenate(kind), np.concatenate(code)], axis=1), axis=0, return_inverse=True, return_counts=True)
+            often = np.bincount(of.reshape(-1)[: len(often)], often, len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in found.T), pa.array(n.astype(np.int64)), pa.array(often)], names=["kind", "code", "n", "often"])
 
-    found = top.mapInArrow(told, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).orderBy("kind", "code").toArrow()
-    kind, code, n = (found.column(i).to_numpy() for i in range(3))
+    found = top.mapInArrow(told, "kind long, code long, n long, often long").groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("often").alias("often")).orderBy("kind", "code").toArrow()
+    kind, code, n, often = (found.column(i).to_numpy() for i in range(4))
     times = np.zeros((order + 1, len(names), 5), np.int64)
     for k in range(3, order + 1):
         times[k, code[kind == k] // 8, code[kind == k] % 8] = n[kind == k]
 
     # orders 2 and 1
-    pair, c2 = code[kind == 2], n[kind == 2]
+    pair, c2, often = code[kind == 2], n[kind == 2], often[kind == 2]
     of2 = pair >> 2 * BITS
     single, up, c1 = np.unique(of2 << BITS | pair & ONE, return_inverse=True, return_counts=True)
     of1 = single >> BITS
@@ -183,9 +185,9 @@ def weights(texts: DataFrame, names: list[str], seeds: np.ndarray, order: int =
     p2 = own2 + lam2[context] * p1[up]
     of_before = before >> BITS
     small = pa.Table.from_batches([
-        _rows(_keys(_symbols(single, 1), seeds[of1, 0]), 1, c1, np.log(p1 / (lam1[of1] / UNIFORM))),
-        _rows(_keys(_symbols(pair, 2), seeds[of2, 1]), 2, c2, np.log(p2 / (lam2[context] * p1[up]))),
-        _rows(_keys(_symbols(before, 1), seeds[of_before, 0]), 1, np.zeros(len(before)), np.log(lam2)),
+        _rows(_keys(_symbols(single, 1), seeds[of1, 0]), 1, np.bincount(up, often, len(c1)), np.log(p1 / (lam1[of1] / UNIFORM))),
+        _rows(_keys(_symbols(pair, 2), seeds[of2, 1]), 2, often, np.log(p2 / (lam2[context] * p1[up]))),
+        _rows(_keys(_symbols(before, 1), seeds[of_before, 0]), 1, np.bincount(context, often, len(before)), np.log(lam2)),
     ])
     bases = {names[g]: float(np.log(lam1[g]) - np.log(UNIFORM)) for g in np.unique(of1).tolist()}
     shared = spark.sparkContext.broadcast((pair, p2))
@@ -207,13 +209,13 @@ def weights(texts: DataFrame, names: list[str], seeds: np.ndarray, order: int =
                 lower = lam[context] * (below if k == 3 else below[own.up[k]])
                 p = share + lower
                 symbols = _symbols(gram, k - 2)
-                yield _rows(_keys([*symbols[:-1], *(x[at] for x in two), symbols[-1]], seeds[own.group[at], k - 1]), k, c, np.log(p / lower))
+                yield _rows(_keys([*symbols[:-1], *(x[at] for x in two), symbols[-1]], seeds[own.group[at], k - 1]), k, own.n[k], np.log(p / lower))
                 first = [x[some] for x in symbols[:-1]]
-                yield _rows(_keys([*first, *(x[at[some]] for x in two)], seeds[own.group[at[some]], k - 2]), k - 1, np.zeros(len(some)), np.log(lam))
+                yield _rows(_keys([*first, *(x[at[some]] for x in two)], seeds[own.group[at[some]], k - 2]), k - 1, np.bincount(context, own.n[k], len(some)), np.log(lam))
                 below = p
 
-    each = cut(top.mapInArrow(weighed, "key long, k int, c long, weight double"))
+    each = cut(top.mapInArrow(weighed, "key long, k int, n long, weight double"))
     # a gram and the context that it is stand in different rows
-    lower = each.filter(F.col("k") < order).union(spark.createDataFrame(small, "key long, k int, c long, weight double"))
-    lower = cut(lower.groupBy("key", "k").agg(F.sum("c").alias("c"), F.sum("weight").alias("weight")))
-    return each.filter(F.col("k") == order).union(lower.select("key", "k", "c", "weight")), bases
+    lower = each.filter(F.col("k") < order).union(spark.createDataFrame(small, "key long, k int, n long, weight double"))
+    lower = cut(lower.groupBy("key", "k").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+    return each.filter(F.col("k") == order).union(lower.select("key", "k", "n", "weight")), bases

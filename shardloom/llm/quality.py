@@ -8,8 +8,8 @@ space is one symbol, or another one before a word that repeats the word before
 it, so that text which repeats itself is not mistaken for likely text.
 
 Grams are counted and weighed by shard, and scores are joined by gram in Spark: a document's log probability is a sum over its grams of their weights.
-The HEAD most frequent grams go to every task and are added up where a text is
-read, so the join is spared the grams that nearly all documents share; the rest
+The HEAD grams of any order that occur most go to every task and are added up
+where a text is read, so the join is spared the grams that texts mostly have; the rest
 of the model stays sharded by gram, and a document's grams that a bloom filter
 does not rule out are joined to it and added up by document.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shardloom.llm import grams, kneser_ney
 from shardloom.llm.bloom import bloom_filter, may_hold
-from shardloom.llm.common import arrow_map, cut
+from shardloom.llm.common import arrow_map, cut, passing
 
 #: Trusted rows that the models and the thresholds are fitted on, at most, over all languages; None: all.
 TRUSTED = None
@@ -43,8 +43,8 @@ QUANTILE = 0.998
 FEWEST = 50
 #: Symbols of a gram.
 ORDER = 5
-#: Grams that go to every task, at most, and binary digits of their table's places (16 MB).
-HEAD, HEAD_BITS = 1 << 19, 20
+#: Grams that go to every task, at most, and binary digits of their table's places (64 MB).
+HEAD, HEAD_BITS = 1 << 21, 22
 
 
 @lru_cache(maxsize=1 << 12)
@@ -58,13 +58,14 @@ def _seeds(name: str, order: int) -> np.ndarray:
 
 
 class Model:
-    """groups: names; bases: constant a symbol; thresholds: loss a symbol; table: the head's weights; tail: key, weight of the rest, or None."""
+    """groups: names; bases: constant a symbol; thresholds: loss a symbol; table: the head's weights; tail: key, weight of the rest, or None; shared: all of this but the tail as its session's tasks get it, sent once."""
 
     def __init__(self, groups: list[str], order: int):
         self.groups, self.order = groups, order
         self.bases: dict[str, float] = {}
         self.thresholds: dict[str, float] = {}
         self.table, self.tail, self.filter = grams.Table(np.zeros(0, np.uint64), np.zeros(0), HEAD_BITS), None, None
+        self.shared = None
 
     def group_of(self, lang):
         """Column: the group of a language."""
@@ -103,9 +104,11 @@ def _losses(rows: DataFrame, model: Model) -> DataFrame:
     others = [c for c in rows.columns if c != "__text"]
     at = others.index("__group") + 1
     spark = rows.sparkSession
-    plain = Model(model.groups, model.order)
-    plain.bases, plain.thresholds, plain.table, plain.filter = model.bases, model.thresholds, model.table, model.filter
-    shared = spark.sparkContext.broadcast(plain)
+    if model.shared is None:
+        plain = Model(model.groups, model.order)
+        plain.bases, plain.table, plain.filter = model.bases, model.table, model.filter
+        model.shared = spark.sparkContext.broadcast(plain)
+    shared = model.shared
 
     def over(batch):
         n, sums, rest = shared.value.scored(batch.column(0).to_pylist(), batch.column(at).to_pylist())
@@ -142,46 +145,52 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Data
     return docs.join(F.broadcast(chosen), same).select("doc_id", "text", "lang", held)
 
 
-def _sharded(model: Model, table: DataFrame, head: int) -> None:
-    """Takes the head of a model's table (key, k, c, weight) to the driver and leaves the rest where it is."""
-    steps = table.groupBy("k", F.least("c", F.lit(1000)).alias("c")).count().orderBy("k", F.desc("c")).collect()  # at most 1000 rows an order
-    room, least = head, {}
-    for r in steps:
+def _sharded(model: Model, table: DataFrame, head: int) -> DataFrame | None:
+    """Takes the grams of a model's table (key, n, weight) that occur most to the driver, and cuts the rest, which is returned."""
+    step = F.floor(F.log2("n") * 16)  # at most 1009 values
+    room, least, part = head, None, 0
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        least = r["step"]
         if r["count"] > room:
+            part = (room << 20) // r["count"]
             break
         room -= r["count"]
-        least[r["k"]] = r["c"]
-    some = F.lit(False)
-    for k, c in least.items():
-        some = some | ((F.col("k") == k) & (F.col("c") >= c))
-    taken = table.filter(some).select("key", "weight", "k", "c").toArrow()
-    keys, heavy = taken.column(0).to_numpy().view(np.uint64), taken.column(1).to_numpy()
-    first = np.lexsort((keys, -taken.column(3).to_numpy(), taken.column(2).to_numpy()))
-    keys, heavy = keys[first], heavy[first]
-    model.table = grams.Table(keys, heavy, HEAD_BITS)
-    over = model.table.left_over
-    rows = pa.table({"key": keys[over].view(np.int64), "weight": heavy[over]})
+    else:
+        part = 1 << 20
+    # of the last step as many, by a hash, as there is room for
+    some = (step > least) | ((step == least) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part)) if least is not None else F.lit(False)
+    taken = table.filter(some).select("key", "weight", "n").toArrow()
+    keys, heavy, n = (taken.column(i).to_numpy() for i in range(3))
+    first = np.lexsort((keys, -n))
+    keys, heavy = keys[first].view(np.uint64), heavy[first]
+    del taken, first, n
+    model.table = grams.Table(keys[:head], heavy[:head], HEAD_BITS)
+    over = np.concatenate([model.table.left_over, np.arange(min(head, len(keys)), len(keys))])
     rest = table.filter(~some).select("key", "weight")
     if len(over):
-        rest = rest.union(table.sparkSession.createDataFrame(rows))
+        rest = rest.union(table.sparkSession.createDataFrame(pa.table({"key": keys[over].view(np.int64), "weight": heavy[over]})))
     rest = cut(rest)
-    if not rest.isEmpty():
-        model.tail, model.filter = rest, bloom_filter(rest.select("key"))
+    if rest.isEmpty():
+        return None
+    model.tail, model.filter = rest, bloom_filter(rest.select("key"))
+    return rest
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, quantile: float = QUANTILE, order: int = ORDER, fewest: int = FEWEST, head: int = HEAD) -> Model:
     """The models and thresholds from all rows labelled quality 1, or from at most `most` of them."""
-    sample = cut(_sample(docs, labels, most))
-    halves = sample.groupBy("lang").agg(F.count_if(F.col("held") == 0).alias("train"), F.count_if(F.col("held") == 1).alias("test"))
-    enough = (F.col("lang") != "") & (F.least("train", "test") >= fewest)
-    model = Model(sorted(r["lang"] for r in halves.filter(enough).collect()), order)  # names of languages
-    rows = sample.select(F.col("text").alias("__text"), model.group_of(F.col("lang")).alias("__group"), "held")
-    names = ["", *model.groups]
-    weights, model.bases = kneser_ney.weights(rows.filter("held = 0").select("__group", "__text"), names, np.stack([_seeds(g, order) for g in names]), order)
-    _sharded(model, weights, head)
-    held = _losses(rows.filter("held = 1").select("__text", "__group"), model).filter("__n > 0")
-    limits = held.groupBy("__group").agg(F.percentile("__loss", quantile).alias("limit"), F.count("*").alias("n"))
-    model.thresholds = {r["__group"]: r["limit"] for r in limits.collect() if r["n"] >= fewest}
+    with passing() as kept:
+        sample = cut(_sample(docs, labels, most))
+        halves = sample.groupBy("lang").agg(F.count_if(F.col("held") == 0).alias("train"), F.count_if(F.col("held") == 1).alias("test"))
+        enough = (F.col("lang") != "") & (F.least("train", "test") >= fewest)
+        model = Model(sorted(r["lang"] for r in halves.filter(enough).collect()), order)  # names of languages
+        rows = sample.select(F.col("text").alias("__text"), model.group_of(F.col("lang")).alias("__group"), "held")
+        names = ["", *model.groups]
+        weights, model.bases = kneser_ney.weights(rows.filter("held = 0").select("__group", "__text"), names, np.stack([_seeds(g, order) for g in names]), order)
+        tail = _sharded(model, weights, head)
+        kept += [tail] if tail is not None else []
+        held = _losses(rows.filter("held = 1").select("__text", "__group"), model).filter("__n > 0")
+        limits = held.groupBy("__group").agg(F.percentile("__loss", quantile).alias("limit"), F.count("*").alias("n"))
+        model.thresholds = {r["__group"]: r["limit"] for r in limits.collect() if r["n"] >= fewest}
     return model
 
 

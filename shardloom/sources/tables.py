@@ -7,7 +7,7 @@ import contextlib
 import os
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,14 +74,34 @@ def settled(make: Callable[[], DataFrame], spent: DataFrame | None = None) -> Da
     out = cut(make())
     gone = _cuts[begin:-1]
     del _cuts[begin:-1]
-    files = [x.removeprefix("file://") for x in spent.inputFiles()[:1]] if spent is not None else []
-    gone += [x for x in _cuts if any(f"/{x[1].rpartition('/')[2]}/" in f for f in files)]
+    gone += _behind(spent) if spent is not None else []
     for entry in gone:
         _remove(entry)
     _cuts[:] = [x for x in _cuts if x not in gone]
     return out
 
 
+def _behind(df: DataFrame) -> list[tuple[SparkSession, str]]:
+    """The cut whose files are the first that df reads."""
+    files = df.inputFiles()[:1]
+    return [x for x in _cuts if any(f"/{x[1].rpartition('/')[2]}/" in f for f in files)]
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Removes what is cut inside once the block ends, but for results of cut() that are put into the list.
+
+    For results that have been collected or cut again by then, in one thread of the driver.
+    """
+    begin, kept = len(_cuts), []
+    yield kept
+    stay = [x for df in kept for x in _behind(df)]
+    gone = [x for x in _cuts[begin:] if x not in stay]
+    _cuts[:] = [x for x in _cuts if x not in gone]
+    for entry in gone:
+        _remove(entry)
+
+
 def frees_before(stage: Callable) -> Callable:
     """stage(spark, docs, ...), which first removes what the stage called before it cut on the way to its result.
 

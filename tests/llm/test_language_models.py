@@ -1,9 +1,11 @@
 """N-gram models against dictionaries, the classifier against held-out labels."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import grams, kneser_ney, lm_score, quality
 from shardloom.llm.queries import QUERIES
+from shardloom.sources import tables
 
 TEXTS = ["the cat sat", "the cat sat on the the the mat", "a dog  ran\nran ran", "", "éa é\U0001f600 zz", "the dog sat on a cat", " \t", "日本語の文 mixed 中文", "aa aa aaa", "x" * 3000 + " y"]
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -64,6 +67,16 @@ def test_table_finds_all_but_what_is_left_over():
     assert set(missing.tolist()) == left | set(range(len(keys), 2 * len(keys)))
 
 
+def test_table_is_sent_without_its_free_places_and_leaves_over_what_comes_last():
+    keys = grams.mixed(np.arange(1, 30_001, dtype=np.uint64))
+    table = grams.Table(keys, np.arange(len(keys)) + 1.0, 16)
+    assert len(table.left_over) and table.left_over.min() > 5_000
+    sent = pickle.dumps(grams.Table(keys[:100], np.ones(100), 16), 5)
+    assert len(sent) < 10_000
+    again = pickle.loads(pickle.dumps(table, 5))
+    assert all((a == b).all() for a, b in zip(again.find(keys), table.find(keys), strict=True)) and (again.left_over == table.left_over).all()
+
+
 class Plain:
     """Interpolated modified Kneser-Ney by recursion over dictionaries."""
 
@@ -273,3 +286,24 @@ def test_classifier_is_fitted_on_all_trusted_rows(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "weights", lambda texts, *rest: seen.append(texts.count()) or real(texts, *rest))
     model = quality.fit(docs, labels)
     assert seen == [halves[0]] and model.groups == ["aa"] and set(model.thresholds) == {"aa"}
+
+
+def test_head_holds_what_occurs_most_and_the_fit_leaves_only_the_tail(spark, labelled):
+    """Of all orders the grams that occur most go to every task, as many as there is room for; files cut on the way are gone."""
+    docs, labels = labelled
+    before = {path for _, path in tables._cuts}
+    model = quality.fit(docs, labels, order=3, fewest=20, head=60)
+    left = [path for _, path in tables._cuts if path not in before]
+    assert len(left) == 1 and all(left[0] in f for f in model.tail.inputFiles())
+    assert {x.name for x in Path(left[0]).parent.glob("cut-*")} <= {Path(x).name for x in (*before, *left)}
+    occurs = Counter()
+    for r in quality._sample(docs, labels).filter("held = 0").collect():
+        group = r.lang if r.lang in ("aa", "bb") else ""
+        run, _ = grams.symbols([r.text or ""], 3)
+        for k, hashes in grams.gram_keys(run, 3):
+            occurs.update(grams.key_of(hashes[2:], quality._seeds(group, 3)[k - 1]).tolist())
+    held = set(model.table.keys[model.table.keys != 0].tolist())
+    tail = {x.key % 2**64: x.weight for x in model.tail.collect()}
+    assert 55 <= len(held) <= 60 and not held & set(tail) and set(occurs) <= held | set(tail)
+    fewest = min(occurs[x] for x in held & set(occurs))
+    assert max(occurs[x] for x in tail) <= fewest * 2 ** (1 / 16) + 1
