@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from shardloom.llm import mixing, quality
 from shardloom.llm.common import cut, normal_space
+from shardloom.sources import tables
 from tests.llm.test_mixing import reshared
 from tests.llm.test_similar import grouped
 
@@ -86,3 +87,11 @@ def test_stages_bear_nulls_repeats_and_clashing_columns(spark):
         assert out.count() > 20, name
         assert all(tuple(r[c] for c in own) == tuple(range(len(own))) for r in out.collect()), name
     assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() == wide.count()
+
+
+def test_quality_stage_holds_no_files_of_its_fit(spark):
+    """While texts are judged, only the model's tail and the scored rows are on disk, and whatever is left of the stage is read by its result."""
+    before = {path for _, path in tables._cuts}
+    out = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    left = [path for _, path in tables._cuts if path not in before]
+    assert len(left) <= 2 and all(any(path in f for f in out.inputFiles()) for path in left)
