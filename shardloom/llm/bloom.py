@@ -26,12 +26,15 @@ def bloom_filter(keys: DataFrame) -> np.ndarray:
     def over(batch):
         own = batch.column(0).to_numpy().astype(np.int64)
         at = np.unique(np.concatenate([_position(own, i, bits) for i in range(SET)]))
-        yield pa.RecordBatch.from_arrays([pa.array(at // 8), pa.array(1 << (at % 8))], names=["byte", "mask"])
-
-    found = arrow_map(keys, over, "byte long, mask long", 10_000).groupBy("byte").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filled = np.zeros(bits // 8, np.uint8)
-    filled[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
-    return filled
+        first = np.flatnonzero(np.append(True, at[1:] >> 6 != at[:-1] >> 6)) if len(at) else at
+        mask = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array((at[first] >> 6).astype(np.int32)), pa.array(mask)], names=["word", "mask"])
+
+    # in words of 64 bits: their numbers and masks that come to the driver are 1.5 times the filter at most
+    found = arrow_map(keys, over, "word int, mask long", 10_000).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filled = np.zeros(bits // 64, "<i8")
+    filled[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return filled.view(np.uint8)
 
 
 def may_hold(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from shardloom.llm import simhash
-from shardloom.llm.components import components
+from shardloom.llm.bloom import SET, _position, bloom_filter, may_hold
+from shardloom.llm.components import _forest_of, components
 
 SF = "/root/testdata/sf0.01"
 
@@ -121,3 +123,51 @@ def test_components_of_a_long_path(spark):
     smallest = min((i * 7919) % 10007 for i in range(n + 1))
     assert set(parts.values()) == {smallest, 20001}
     assert len(parts) == n + 1 - 1 + 1
+
+
+def test_components_take_few_queries(spark):
+    """A round is five queries that the driver plans; edges that a task holds together take one round, however long their paths."""
+    n = 500
+    at = random.Random(3).sample(range(n), n)
+    edges = spark.createDataFrame([(at[i], at[i + 1]) for i in range(n - 1)], "a long, b long").coalesce(1)
+    store = spark._jsparkSession.sharedState().statusStore()
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        before = store.executionsCount()
+        parts = components(edges)
+        assert store.executionsCount() - before <= 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert {(r.node, r.component) for r in parts.collect()} == {(x, 0) for x in range(1, n)}
+
+
+def test_contracted_edges_keep_components(spark):
+    """Each node comes with the smallest one that it hangs together with, in one batch and over several tasks."""
+    pick = random.Random(5)
+    pairs = [(pick.randrange(-400, 400), pick.randrange(-400, 400)) for _ in range(500)]
+    want = {}
+    for x in sorted({y for p in pairs for y in p}):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += [q for p in pairs if y in p for q in p]
+    edges = [(max(p), min(p)) for p in pairs if p[0] != p[1]]
+    batches = [pa.RecordBatch.from_pydict({"u": [p[0] for p in edges[i : i + 90]], "v": [p[1] for p in edges[i : i + 90]]}) for i in range(0, len(edges), 90)]
+    (whole,) = _forest_of(pa.Table.from_batches(batches).combine_chunks().to_batches()[0])
+    assert dict(zip(*(c.to_pylist() for c in whole.columns), strict=True)) == {x: least for x, least in want.items() if x != least}
+    found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    assert {x: least for x, least in want.items() if found.get(x, x) != least} == {}
+
+
+def test_bloom_filter_bit_by_bit(spark):
+    keys = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 700).tolist()
+    filled = bloom_filter(spark.createDataFrame([(k,) for k in keys], "k long").repartition(3))
+    want = np.zeros(8 * len(filled), bool)
+    for probe in range(SET):
+        want[_position(np.array(keys, np.int64), probe, 8 * len(filled))] = True
+    assert (np.unpackbits(filled, bitorder="little").astype(bool) == want).all()
+    assert len(may_hold(filled, np.array(keys, np.int64))) == len(keys)
+    assert not bloom_filter(spark.createDataFrame([], "k long")).any()
