@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars, or by one task's contraction once it holds all edges."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def _forest_of(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
     """Edges (u, v) that join what the edges of each task join, all to the smallest node."""
 
     def over(batches):
@@ -38,7 +38,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= CONTRACTED:
+            if n >= most:
                 yield from _forest_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held, n = [], 0
         if n:
@@ -59,7 +59,7 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, most: int = CONTRACTED) -> DataFrame:
     """node, component (smallest node reachable) of every node that has an edge to another.
 
     edges may repeat and point either way; self-loops and nulls are left out.
@@ -71,18 +71,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     plans and keeps track of, and so there are few rounds. No task's contraction
     makes a node's smallest neighbour larger, and stars stay as they are, so the
     edges stand still only once they are the components' stars.
+
+    A task contracts up to `most` edges at once, so edges are gathered in as few
+    tasks as hold them at that, and `most` or fewer need no round: one task's
+    contraction of them all is the result.
     """
-    e = cut(_contracted(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()))
+    e = cut(_contracted(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), most))
     before = _mark(e)
-    if not before[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        if before[0] <= most:
+            e = cut(_contracted(e.coalesce(1), most)) if before[0] else e
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         large = cut(large)
         joined = _star(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e = cut(_contracted(small.filter("u > v").distinct()))
+        e = cut(_contracted(small.filter("u > v").distinct().coalesce(-(-before[0] // most)), most))
         now = _mark(e)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

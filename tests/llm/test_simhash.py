@@ -142,6 +142,36 @@ def test_components_take_few_queries(spark):
     assert {(r.node, r.component) for r in parts.collect()} == {(x, 0) for x in range(1, n)}
 
 
+def test_components_that_one_task_holds_take_no_rounds(spark):
+    """However many partitions edges are dealt over, few edges take three queries."""
+    n = 500
+    at = random.Random(4).sample(range(n), n)
+    edges = spark.createDataFrame([(at[i], at[i + 1]) for i in range(n - 1)], "a long, b long").repartition(9)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    parts = components(edges)
+    assert store.executionsCount() - before <= 3
+    assert {(r.node, r.component) for r in parts.collect()} == {(x, 0) for x in range(1, n)}
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark):
+    """Seven edges a task at most, so that rounds are needed: a path, a ring, a star and chance edges."""
+    rng = random.Random(6)
+    at = rng.sample(range(1000), 200)
+    pairs = [(at[i], at[i + 1]) for i in range(79)] + [(at[100 + i], at[100 + (i + 1) % 20]) for i in range(20)] + [(at[120], x) for x in at[121:150]]
+    pairs += [(rng.choice(at[150:]), rng.choice(at[150:])) for _ in range(40)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    one, many = ({(r.node, r.component) for r in components(edges, most=m).collect()} for m in (1 << 18, 7))
+    assert one == many
+    groups: dict[int, set[int]] = {x: {x} for p in pairs for x in p}
+    for x, y in pairs:
+        if groups[x] is not groups[y]:
+            groups[x] |= groups[y]
+            for z in groups[y]:
+                groups[z] = groups[x]
+    assert one == {(x, min(g)) for x, g in groups.items() if x != min(g)}
+
+
 def test_contracted_edges_keep_components(spark):
     """Each node comes with the smallest one that it hangs together with, in one batch and over several tasks."""
     pick = random.Random(5)
